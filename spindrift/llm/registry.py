@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from spindrift.llm import decontaminate, packing
+from spindrift.llm import decontaminate, packing, warc
 
-MODULES = [decontaminate, packing]
+MODULES = [warc, decontaminate, packing]
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in getattr(m, "ORACLE_SQL", {}).items()}
