@@ -1,6 +1,7 @@
 """Document fingerprints: invertible Bloom lookup sketches, in SQL functions only.
 
-A text's paragraphs (lines; long ones in pieces) are hashed to 64-bit digests.  The digests
+A text's paragraphs (lines; long ones in pieces, and the first one's start apart) are hashed to
+64-bit digests.  The digests
 are dealt to blocks, a power of two that grows with their number, and each block is a table
 of cells in three parts.  A digest goes into one cell of each part: the cell counts it and
 keeps the XOR of the digests and of their check hashes.
@@ -26,11 +27,11 @@ from pyspark.sql import functions as F
 from spindrift.llm.common import parts, table
 
 #: Digests of one text that a block has at most on average, and the sizes (cells of a third) that it is tried with.
-LOAD = 12
-THIRDS = (8, 16, 32, 64)
-ROUNDS = 12
-#: The first piece of a line and the others, in code units, at most.
-PIECE = r"(?dm)^[^\n]{1,16}|[^\n]{1,112}"
+LOAD = 6
+THIRDS = (8, 16, 20)
+ROUNDS = 24
+#: A short first piece of the text, lines, and pieces of long lines, in code units.
+PIECE = r"\A[^\n]{1,16}|[^\n]{1,512}"
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -38,9 +39,15 @@ def _let(value: str, name: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
+def _mask(h: str, third: int) -> str:
+    """SQL for the three cells of a check hash, one in each part, as bits of a long."""
+    return "(" + " | ".join(f"shiftleft(1L, cast({third * k} + pmod(shiftright({h}, {20 * k}), {third}L) as int))" for k in range(3)) + ")"
+
+
 def digests(text: str) -> str:
-    """SQL for the distinct (digest, check hash) of a text's paragraphs."""
-    return f"transform(array_distinct(transform(regexp_extract_all({text}, r'{PIECE}', 0), p -> xxhash64(p))), d -> named_struct('k', d, 'h', xxhash64(d)))"
+    """SQL for the distinct (digest k, check hash h, cells m at the first size) of a text's paragraphs."""
+    hashed = f"transform(array_distinct(transform(regexp_extract_all({text}, r'{PIECE}', 0), p -> xxhash64(p))), d -> named_struct('k', d, 'h', xxhash64(d)))"
+    return f"transform({hashed}, d -> named_struct('k', d.k, 'h', d.h, 'm', {_mask('d.h', THIRDS[0])}))"
 
 
 def blocks(keys: str) -> str:
@@ -48,18 +55,16 @@ def blocks(keys: str) -> str:
     return f"shiftleft(1, cast(ceil(log2(greatest(1D, size({keys}) / {LOAD}D))) as int))"
 
 
-def _in_cell(h: str, cell: str, third: int) -> str:
-    """Whether a digest of check hash h goes to a cell; each part uses other bits of h."""
-    return f"(shiftright({h}, 20 * ({cell} div {third})) & {third - 1}) = ({cell} % {third})"
+_EMPTY = "named_struct('c', 0, 'k', 0L, 'h', 0L)"
 
 
-_EMPTY = "named_struct('c', 0, 'k', 0L, 'h', 0L)"
+def _bits(third: int) -> str:
+    return "array(" + ", ".join(f"{1 << j}L" for j in range(3 * third)) + ")"
 
 
 def block_cells(keys: str, third: int) -> str:
-    """SQL for the cells of a block with these digests."""
-    add = f"IF({_in_cell('x.h', 'j', third)}, named_struct('c', s.c + 1, 'k', s.k ^ x.k, 'h', s.h ^ x.h), s)"
-    return f"transform(sequence(0, {3 * third - 1}), j -> aggregate({keys}, {_EMPTY}, (s, x) -> {add}))"
+    """SQL for the cells of a block with these digests, whose m is for this size."""
+    return f"transform({_bits(third)}, w -> aggregate({keys}, {_EMPTY}, (s, x) -> IF(x.m & w = 0L, s, named_struct('c', s.c + 1, 'k', s.k ^ x.k, 'h', s.h ^ x.h))))"
 
 
 def _part(keys: str, n: str, b: str) -> str:
@@ -68,24 +73,25 @@ def _part(keys: str, n: str, b: str) -> str:
 
 def cells(keys: str, n: str) -> str:
     """SQL for all blocks' cells of the first size."""
-    return f"transform(sequence(0, {n} - 1), b -> {block_cells(_part(keys, n, 'b'), THIRDS[0])})"
+    return f"transform(sequence(0, {n} - 1), b -> {_let(_part(keys, n, 'b'), 'o', block_cells('o', THIRDS[0]))})"
 
 
 def encoded(sketch: str) -> str:
-    """SQL for a sketch as text: each cell's count, digests and check hashes in hexadecimal."""
-    cell = "concat(lpad(hex(c.c), 2, '0'), lpad(hex(c.k), 16, '0'), lpad(hex(c.h), 16, '0'))"
+    """SQL for a sketch as text: each cell's count, digests and check hashes in hexadecimal; an empty cell is a dash."""
+    cell = "IF(c.c = 0, '-', concat(hex(c.c), ':', hex(c.k), ':', hex(c.h), ';'))"
     return f"array_join(transform({sketch}, t -> array_join(transform(t, c -> {cell}), '')), '.')"
 
 
 def _peeled(left: str, right: str, third: int) -> str:
     """SQL for the differing digests of two blocks' cells, signed, or null if peeling stops early."""
     minus = "zip_with({l}, {r}, (a, z) -> named_struct('c', a.c - z.c, 'k', a.k ^ z.k, 'h', a.h ^ z.h))".format(l=left, r=right)
-    pure = "array_distinct(filter(s.t, c -> (c.c = 1 OR c.c = -1) AND xxhash64(c.k) = c.h))"
-    out = f"IF({_in_cell('q.h', 'j', third)}, named_struct('c', a.c - q.c, 'k', a.k ^ q.k, 'h', a.h ^ q.h), a)"
-    step = _let(pure, "u", f"IF(size(u) = 0, named_struct('t', s.t, 'd', s.d, 'on', false), named_struct('t', transform(s.t, (c, j) -> aggregate(u, c, (a, q) -> {out})), 'd', concat(s.d, u), 'on', true))")
-    start = f"named_struct('t', {minus}, 'd', filter(array({_EMPTY}), c -> false), 'on', true)"
+    pure = f"transform(array_distinct(filter(s.t, c -> (c.c = 1 OR c.c = -1) AND xxhash64(c.k) = c.h)), c -> named_struct('c', c.c, 'k', c.k, 'h', c.h, 'm', {_mask('c.h', third)}))"
+    out = "IF(q.m & w = 0L, a, named_struct('c', a.c - q.c, 'k', a.k ^ q.k, 'h', a.h ^ q.h))"
+    step = _let(pure, "u", f"IF(size(u) = 0, named_struct('t', s.t, 'd', s.d, 'on', false), named_struct('t', zip_with(s.t, {_bits(third)}, (c, w) -> aggregate(u, c, (a, q) -> {out})), 'd', concat(s.d, u), 'on', true))")
+    none = "named_struct('c', 0, 'k', 0L, 'h', 0L, 'm', 0L)"
+    start = f"named_struct('t', {minus}, 'd', filter(array({none}), c -> false), 'on', true)"
     done = "IF(forall(s.t, c -> c.c = 0 AND c.k = 0L AND c.h = 0L), s.d, NULL)"
-    return f"aggregate(sequence(1, {ROUNDS * int(math.log2(third))}), {start}, (s, r) -> IF(s.on, {step}, s), s -> {done})"
+    return f"aggregate(sequence(1, {ROUNDS}), {start}, (s, r) -> IF(s.on, {step}, s), s -> {done})"
 
 
 def differing(left: str, right: str, n: str, left_cells: str, right_cells: str, left_n: str, right_n: str) -> str:
@@ -93,10 +99,12 @@ def differing(left: str, right: str, n: str, left_cells: str, right_cells: str,
 
     left, right: their digests; n: the blocks to compare with; the rest: their sketches and blocks.
     """
-    own = lambda keys, sketch, m: f"IF({m} = {n}, element_at({sketch}, b + 1), {block_cells(_part(keys, n, 'b'), THIRDS[0])})"
+    own = lambda keys, sketch, m: f"IF({m} = {n}, element_at({sketch}, b + 1), {_let(_part(keys, n, 'b'), 'o', block_cells('o', THIRDS[0]))})"
     tries = [_peeled(own(left, left_cells, left_n), own(right, right_cells, right_n), THIRDS[0])]
-    tries += [_peeled(block_cells(_part(left, n, "b"), t), block_cells(_part(right, n, "b"), t), t) for t in THIRDS[1:]]
-    side = lambda a, z, c: f"transform(array_except({_part(a, n, 'b')}, {_part(z, n, 'b')}), y -> named_struct('c', {c}, 'k', y.k, 'h', y.h))"
+    for third in THIRDS[1:]:
+        again = lambda keys: _let(f"transform({_part(keys, n, 'b')}, y -> named_struct('k', y.k, 'h', y.h, 'm', {_mask('y.h', third)}))", "o", block_cells("o", third))  # noqa: B023, E731
+        tries.append(_peeled(again(left), again(right), third))
+    side = lambda a, z, c: f"transform(array_except({_part(a, n, 'b')}, {_part(z, n, 'b')}), y -> named_struct('c', {c}, 'k', y.k, 'h', y.h, 'm', y.m))"
     tries.append(f"concat({side(left, right, 1)}, {side(right, left, -1)})")
     return f"flatten(transform(sequence(0, {n} - 1), b -> coalesce({', '.join(tries)})))"
 
