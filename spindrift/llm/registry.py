@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from spindrift.llm import decontaminate, fingerprint, jaccard, packing, quality, warc
+from spindrift.llm import decontaminate, fingerprint, jaccard, lm, packing, quality, warc
 
-MODULES = [warc, jaccard, decontaminate, quality, packing, fingerprint]
+MODULES = [warc, jaccard, lm, decontaminate, quality, packing, fingerprint]
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in getattr(m, "ORACLE_SQL", {}).items()}
