@@ -11,9 +11,9 @@ on separately, and what they count is summed per document or per pair.
    In the order of rising frequency, linking sets share an n-gram among their first
    n - ceil(3n/4) + 1 ones, and those of frequency one are no use: the rest are its keys.
 3. Candidates.  The documents of a key are compared with one of them, its pivot, and not all
-   with all.  Those linked to it are one group, so pairs among them need no look.  Rounds go on
-   (the next pivot comes from the key's smallest group) until each key has one group or no
-   pivot left; once the pairs left over are few they are compared at once.
+   with all.  Those linked to it are one group, so pairs among them need no look.  Where other
+   documents are left, these are compared with all of the key's, in blocks: a task gets two
+   blocks and gives the groups that they join, not pairs.
 4. Counting.  For each pair, fragments count common n-grams; the sums decide exactly.
 
 Copies of a set are one class throughout.  Documents without words have no n-grams and link
@@ -43,8 +43,9 @@ SCREEN = 0.4
 #: Fragments in which pairs are counted, and members of a pivot that one task takes.
 VERTICAL = 4
 MEMBERS = 512
-#: Pairs left over are compared at once if they are at most so many for each key row.
-LEFT_OVER = 4
+#: Documents of a block, and n-grams that two blocks are compared on at a time.
+BLOCK = 256
+COLUMNS = 4096
 
 
 def _sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -193,7 +194,7 @@ def _coded(t: pa.Table) -> pa.Table:
 
 
 def _ordered(t: pa.Table) -> pa.Table:
-    """A batch's documents that can still link: size, segments of the set, and the keys among its first n-grams."""
+    """A batch's documents that can still link: size, segments of the set, the keys among its first n-grams, and n-grams from each key on."""
     fragment = t.column("fragment").to_pylist()
     whole = fragment.index(None)
     counts, grams = _binaries(t, "counts", "<u4"), [x.as_buffer() for x in t.column("grams")]
@@ -208,11 +209,12 @@ def _ordered(t: pa.Table) -> pa.Table:
         code = np.frombuffer(grams[k], np.uint8)
         df[np.repeat(place, c) + np.arange(len(code)) - np.repeat(np.cumsum(c) - c, c)] = code
         place += c
-    out = {"c": [], "n": [], "segments": [], "keys": []}
+    out = {"c": [], "n": [], "segments": [], "keys": [], "rest": []}
     bounds = (np.arange(1, VERTICAL, dtype=np.uint64) << np.uint64(62)) if VERTICAL == 4 else np.linspace(0, 2**64, VERTICAL + 1)[1:-1].astype(np.uint64)
     for k, n in enumerate(sizes.tolist()):
         v, d = values[edges[k] : edges[k + 1]], df[edges[k] : edges[k + 1]]
-        first = n - -(-NUM * n // DEN) + 1 - int((d == 1).sum())
+        alone = int((d == 1).sum())
+        first = n - -(-NUM * n // DEN) + 1 - alone
         if first <= 0 or not n:
             continue
         shared = np.flatnonzero(d > 1)
@@ -220,8 +222,10 @@ def _ordered(t: pa.Table) -> pa.Table:
         out["c"].append(cs[k])
         out["n"].append(n)
         out["segments"].append([v[a:b].tobytes() for a, b in zip(at, at[1:])])
-        out["keys"].append(v[shared[np.lexsort((v[shared], d[shared]))[:first]]].view(np.int64))
-    return pa.table({"c": pa.array(out["c"], pa.int64()), "n": pa.array(out["n"], pa.int64()), "segments": pa.array(out["segments"], pa.list_(pa.binary())), "keys": pa.array(out["keys"], pa.list_(pa.int64()))})
+        keys = v[shared[np.lexsort((v[shared], d[shared]))[:first]]].view(np.int64)
+        out["keys"].append(keys)
+        out["rest"].append(n - alone - np.arange(len(keys)))
+    return pa.table({"c": pa.array(out["c"], pa.int64()), "n": pa.array(out["n"], pa.int64()), "segments": pa.array(out["segments"], pa.list_(pa.binary())), "keys": pa.array(out["keys"], pa.list_(pa.int64())), "rest": pa.array(out["rest"], pa.list_(pa.int64()))})
 
 
 def _common(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,43 +269,109 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return common.join(na, "a").join(nb, "b").filter(f"{DEN} * common >= {NUM} * (na + nb - common)").select("a", "b")
 
 
+#: Sizes up to which a document can link at a key, if that is the first n-gram in common: what follows must be enough.
+_REACH = f"floor({NUM + DEN} * r / {NUM}D) - n"
+
+
+def _hopeful(rows: DataFrame) -> DataFrame:
+    """Rows (g, c, n, r) that may have a partner at their key.
+
+    Of two that link the smaller one reaches its own size, and the larger one reaches the smaller.
+    """
+    rows = rows.withColumn("reach", F.expr(_REACH))
+    least = rows.filter("reach >= n").groupBy("g").agg(F.min("n").alias("least"))
+    return rows.join(least, "g").filter("reach >= least").drop("least")
+
+
+def _block_links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (g, kind, i, j, role, label, n, segments), sorted by the first four, to labels (u, v) that link.
+
+    A block of role 0 is compared with the one of role 1, or with itself if there is none.
+    """
+
+    def links(rows: list[tuple]) -> pa.RecordBatch:
+        role, label, n = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        left = np.flatnonzero(role == 0)
+        right = np.flatnonzero(role == 1) if (role == 1).any() else left
+        common = np.zeros((len(left), len(right)), np.float32)
+        for v in range(VERTICAL):
+            parts = [np.frombuffer(r[3][v], "<u8") for r in rows]
+            doc = np.repeat(np.arange(len(rows)), [len(x) for x in parts])
+            _, column, many = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+            shared = np.cumsum(many > 1) - 1
+            keep = many[column] > 1
+            doc, column = doc[keep], shared[column[keep]]
+            for at in range(0, int(shared[-1]) + 1 if len(shared) else 0, COLUMNS):
+                here = (column >= at) & (column < at + COLUMNS)
+                x = np.zeros((len(rows), COLUMNS), np.float32)
+                x[doc[here], column[here] - at] = 1
+                common += x[left] @ x[right].T
+        good = DEN * common >= NUM * (n[left][:, None] + n[right][None, :] - common)
+        good &= label[left][:, None] != label[right][None, :]
+        x, y = np.nonzero(good)
+        root: dict[int, int] = {}
+
+        def find(k: int) -> int:
+            while root.get(k, k) != k:
+                root[k] = k = root.get(root[k], root[k])
+            return k
+
+        out = []
+        for u, v in sorted(set(zip(label[left][x].tolist(), label[right][y].tolist()))):
+            if (a := find(u)) != (b := find(v)):
+                root[max(a, b)] = min(a, b)
+                out.append((u, v))
+        return pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], names=["u", "v"])
+
+    at, rows = None, []
+    for batch in batches:
+        cols = [batch.column(k).to_pylist() for k in range(8)]
+        for g, kind, i, j, role, label, n, segments in zip(*cols):
+            if (g, kind, i, j) != at:
+                if len(rows) > 1:
+                    yield links(rows)
+                at, rows = (g, kind, i, j), []
+            rows.append((role, label, n, segments))
+    if len(rows) > 1:
+        yield links(rows)
+
+
+def _relabelled(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    roots = components(edges)
+    return labels.join(roots.withColumnRenamed("v", "label"), "label", "left").select("c", F.coalesce("root", "label").alias("label")).checkpoint()
+
+
 def link_classes(sets: DataFrame) -> DataFrame:
-    """(c, label): classes of sets that link, directly or not, have the same label.  sets: c, n, segments, keys."""
-    keys = sets.select("c", "n", F.explode("keys").alias("g"))
-    # Keys of the same documents do the same work: one of them stays.
+    """(c, label): classes of sets that link, directly or not, have the same label.  sets: c, n, segments, keys, rest."""
+    keys = sets.select("c", "n", F.explode(F.arrays_zip("keys", "rest")).alias("x")).select("c", "n", F.col("x.keys").alias("g"), F.col("x.rest").alias("r")).distinct()
+    # Keys of the same documents do the same work: they become one, in the place of the first.
     of = keys.groupBy("g").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("c")).alias("x"), F.sum(F.xxhash64("c", F.lit(1)) % (1 << 40)).alias("y")).filter("m > 1")
-    keep = of.groupBy("m", "x", "y").agg(F.min("g").alias("g")).select("g")
-    rows = written(keys.join(keep, "g").distinct(), "keys")
+    same = of.groupBy("m", "x", "y").agg(F.min("g").alias("first"))
+    keys = keys.join(of.join(same, ["m", "x", "y"]).select("g", "first"), "g").groupBy(F.col("first").alias("g"), "c", "n").agg(F.max("r").alias("r"))
+    rows = written(_hopeful(written(keys, "keys")), "hopeful")
     labels = sets.select("c", F.col("c").alias("label")).distinct()
-    seen = None
-    while True:
-        now = rows.join(labels, "c")
-        groups = now.groupBy("g", "label").agg(F.count("*").alias("m"), F.min("c").alias("c"))
-        state = groups.groupBy("g").agg(F.count("*").alias("labels"), F.min(F.struct("m", "c")).alias("next"), ((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("pairs"))
-        state = state.filter("labels > 1").select("g", F.col("next.c").alias("pivot"), "pairs").checkpoint()
-        left, active = state.agg(F.coalesce(F.sum("pairs"), F.lit(0)), F.count("*")).first()
-        if not active:
-            return labels
-        now = now.join(state, "g").checkpoint()
-        some = now.count()
-        at_once = left <= LEFT_OVER * some
-        side = lambda x, cond="true": now.filter(cond).select("g", *(F.col(c).alias(f"{x}_{c}") for c in ("c", "n", "label")))
-        both = side("p").join(side("q"), "g").filter("p_c < q_c") if at_once else side("p", "c = pivot").join(side("q", "c <> pivot"), "g")
-        fit = both.filter(f"p_label <> q_label AND {DEN} * least(p_n, q_n) >= {NUM} * greatest(p_n, q_n)")
-        pairs = fit.select(F.col("p_c").alias("a"), F.col("q_c").alias("b")).distinct()
-        if seen is not None:
-            lesser = lambda df: df.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
-            pairs = pairs.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).join(lesser(seen), ["lo", "hi"], "left_anti").dropDuplicates(["lo", "hi"]).select("a", "b")
-        pairs = pairs.checkpoint()
-        seen = pairs if seen is None else seen.unionByName(pairs)
-        links = linked(pairs, sets)
-        la, lb = (labels.select(F.col("c").alias(x), F.col("label").alias(y)) for x, y in (("a", "u"), ("b", "v")))
-        roots = components(links.join(la, "a").join(lb, "b").select("u", "v"))
-        labels = labels.join(roots.withColumnRenamed("v", "label"), "label", "left").select("c", F.coalesce("root", "label").alias("label")).checkpoint()
-        if at_once:
-            return labels
-        # A pivot has met all documents of its key.
-        rows = now.filter("c <> pivot").select("g", "c", "n").checkpoint()
+
+    # Each key's documents against its pivot, the one with the fewest rare n-grams.
+    pivot = rows.groupBy("g").agg(F.min(F.struct(((F.col("n") - F.col("r")) / F.col("n")).alias("rare"), "c", "n", "reach")).alias("p"))
+    near = rows.join(pivot.select("g", "p.*").withColumnsRenamed({"c": "p_c", "n": "p_n", "reach": "p_reach"}), "g")
+    pairs = near.filter(f"c <> p_c AND {DEN} * least(n, p_n) >= {NUM} * greatest(n, p_n) AND reach >= p_n AND p_reach >= n").select(F.col("p_c").alias("a"), F.col("c").alias("b")).distinct().checkpoint()
+    labels = _relabelled(labels, linked(pairs, sets).select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+    # Where a key has several groups left, the documents outside the largest one against all, in blocks.
+    now = rows.join(labels, "c")
+    groups = now.groupBy("g", "label").agg(F.count("*").alias("m"))
+    state = groups.groupBy("g").agg(F.sum("m").alias("all"), F.max(F.struct("m", "label")).alias("top"), F.count("*").alias("k")).filter("k > 1")
+    blocks = lambda m: f"cast(ceil(({m}) / {BLOCK}D) as int)"
+    state = state.select("g", F.col("top.label").alias("major"), F.expr(blocks("top.m")).alias("kc"), F.expr(blocks("all - top.m")).alias("ku"))
+    now = now.join(state, "g").withColumn("own", F.expr("label = major")).withColumn("at", F.expr("cast(pmod(xxhash64(c, 7), IF(own, kc, ku)) as int)"))
+    task = "named_struct('kind', {kind}, 'i', {i}, 'j', {j}, 'role', {role})"
+    major = f"transform(sequence(0, ku - 1), x -> {task.format(kind=0, i='x', j='at', role=1)})"
+    minor = f"transform(sequence(0, kc - 1), x -> {task.format(kind=0, i='at', j='x', role=0)})"
+    among = f"transform(sequence(0, ku - 1), x -> {task.format(kind=1, i='least(at, x)', j='greatest(at, x)', role='IF(at <= x, 0, 1)')})"
+    sent = now.select("g", "c", "label", F.expr(f"explode(IF(own, {major}, concat({minor}, {among})))").alias("t")).select("g", "t.*", "c", "label")
+    cut = sent.join(sets.select("c", "n", "segments"), "c").select("g", "kind", "i", "j", "role", "label", "n", "segments")
+    cut = cut.repartition("g", "kind", "i", "j").sortWithinPartitions("g", "kind", "i", "j")
+    return _relabelled(labels, cut.mapInArrow(_block_links, "u long, v long"))
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -323,7 +393,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     packed = written(_packed(texts, fragments), "sets")
     coded = packed.filter("fragment IS NOT NULL").groupBy("fragment").applyInArrow(_coded, packed.schema)
     both = packed.filter("fragment IS NULL").unionByName(coded)
-    sets = written(both.groupBy("batch").applyInArrow(_ordered, "c long, n long, segments array<binary>, keys array<long>").dropDuplicates(["c"]), "ordered")
+    sets = written(both.groupBy("batch").applyInArrow(_ordered, "c long, n long, segments array<binary>, keys array<long>, rest array<long>").dropDuplicates(["c"]), "ordered")
     labels = link_classes(sets)
     groups = classes.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
     best = groups.groupBy("label").agg(F.min("least").alias("component"), F.min("rep").alias("keeper"))

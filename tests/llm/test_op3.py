@@ -65,10 +65,11 @@ def test_groups_equal_brute_force(spark, tmp_path):
     check(spark, tmp_path, [*corpus(1), (5000, None), (5001, ""), (5002, " \n"), (3, "same id other text"), (3, "same id other text"), (None, "no id here"), (None, "NO id here"), (5004, "y" * 200000), (5005, "lone words " * 30000)])
 
 
-def test_pivot_rounds_alone_give_the_same(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(jaccard, "LEFT_OVER", -1)
+def test_small_blocks_give_the_same(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "COLUMNS", 64)
     monkeypatch.setattr(jaccard, "MEMBERS", 5)
-    check(spark, tmp_path, corpus(2)[:150])
+    check(spark, tmp_path, corpus(2)[:250])
 
 
 def test_stage_keeps_one_of_each_group(spark, tmp_path):
