@@ -1 +1 @@
-
+"""Column expressions: text, numbers and geography."""

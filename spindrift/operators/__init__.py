@@ -1 +1 @@
-
+"""Operators on categories."""

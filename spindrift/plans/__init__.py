@@ -1 +1 @@
-
+"""Requests, the catalog and the registered queries."""

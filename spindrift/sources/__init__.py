@@ -1 +1 @@
-
+"""Reading and writing records and their schemas."""
