@@ -44,7 +44,13 @@ class Catalog:
 
     def _read(self, path: str) -> str | None:
         fs, at = self._fs(path)
-        return "\n".join(r.value for r in self.spark.read.text(path, wholetext=True).collect()) if fs.exists(at) else None
+        if not fs.exists(at):
+            return None
+        stream = fs.open(at)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
 
     def _point(self, name: str, version: str) -> None:
         """Writes the pointer aside and renames it over the old one."""
