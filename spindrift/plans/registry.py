@@ -45,7 +45,7 @@ _TRIM = r"'^[\x00-\x20]+|[\x00-\x20]+$', '', 'g'"
 
 
 def _step(e: str) -> str:
-    s = rf"regexp_replace(regexp_replace({e}, '[^ -~]\]', ' ', 'g'), '[!@#$%^&*()/_=`''+,.:;""\-?~<>{{}}\[\]\\|]', ' ', 'g')".replace('""', '"')
+    s = rf'''regexp_replace(regexp_replace({e}, '[^ -~]\]', ' ', 'g'), '[!@#$%^&*()/_=`{2 * chr(39)}+,.:;"\-?~<>{{}}\[\]\\|]', ' ', 'g')'''
     return rf"lower(regexp_replace(regexp_replace({s}, '[ \t\n\x0B\f\r]{{2,}}', ' ', 'g'), {_TRIM}))"
 
 
