@@ -14,7 +14,6 @@ like a result column are replaced.
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -189,4 +188,15 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.filter(~F.col("contaminated")).select(*without(docs, ["n_words", "n_hit", "items", "contaminated"]))
 
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+ i AS (SELECT item_id, {_WORDS} AS w FROM benchmark), p AS (SELECT item_id, least({WINDOW}, len(w)) AS n, unnest(range(len(w) - least({WINDOW}, len(w)) + 1)) AS k, w FROM i WHERE len(w) > 0),
+ pat AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, n, array_to_string(w[k + 1 : k + n], ' ') AS x FROM p),
+ dw AS (SELECT r, n, unnest(range(len(w) - n + 1)) AS k, w FROM d, (SELECT DISTINCT n FROM pat) WHERE len(w) >= n),
+ hit AS (SELECT r, k, dw.n, item FROM dw JOIN pat ON pat.n = dw.n AND pat.x = array_to_string(w[k + 1 : k + dw.n], ' ')),
+ words AS (SELECT r, count(DISTINCT pos) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS pos FROM hit) GROUP BY r),
+ items AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hit GROUP BY r)
+ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+ FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)"""
 QUERIES = {"op6_decontaminate": op6_decontaminate}
+ORACLE_SQL = {"op6_decontaminate": _SQL}

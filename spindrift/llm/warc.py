@@ -399,4 +399,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(id_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", id_of("refers_to").alias("refers_to"), F.col("target_uri").alias("url"))
 
 
+_DIGIT = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> {s}) & 31) + 1, 1)"
+_DIGITS = " || ".join(f"(SELECT {' || '.join(_DIGIT.format(s=s) for s in (15, 10, 5, 0))} FROM (SELECT CAST('0x' || substr(h, {5 * k + 1}, 5) AS INTEGER) AS v))" for k in range(8))
+_SQL = f"""WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS best FROM pages)
+ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {_DIGITS} AS payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM best THEN 'response' ELSE 'revisit' END AS record_type,
+ CASE WHEN page_id IS DISTINCT FROM best THEN best END AS refers_to, url FROM p"""
 QUERIES = {"op2_warc": op2_warc}
+ORACLE_SQL = {"op2_warc": _SQL}
