@@ -421,4 +421,12 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.join(again, same, "left_anti").unionByName(once)
 
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+_GRAMS = "CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' ')) END"
+_SQL = f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents), s AS (SELECT r, unnest(list_distinct({_GRAMS})) AS g FROM d),
+ n AS (SELECT r, count(*) AS n FROM s GROUP BY r), p AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
+ e AS (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE {DEN} * c >= {NUM} * (x.n + y.n - c)), both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+ reach AS (SELECT r, r AS c FROM d UNION SELECT reach.r, b FROM reach JOIN both_ways ON a = c), low AS (SELECT reach.r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r = c GROUP BY reach.r)
+ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d LEFT JOIN n USING (r) JOIN low USING (r)"""
 QUERIES = {"op3_ngram_join": op3_ngram_join}
+ORACLE_SQL = {"op3_ngram_join": _SQL}
