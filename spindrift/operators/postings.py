@@ -47,3 +47,33 @@ def any_field(maps: DataFrame) -> DataFrame:
 
 def document_frequency(maps: DataFrame) -> DataFrame:
     return maps.groupBy("term", "field").agg(F.sum(F.bitmap_count("bitmap")).alias("df"))
+
+
+def combined(maps: DataFrame, terms: list[str], how: str) -> DataFrame:
+    """(block, bitmap) of the records that have all, any or none of the terms, from any-field bitmaps (any_field).
+
+    Blocks in which no record can qualify are left out.
+    """
+    terms = list(dict.fromkeys(terms))
+    own = maps.filter(F.col("term").isin(terms)).groupBy("block")
+    if how == "all":
+        both = own.agg(F.bitmap_and_agg("bitmap").alias("bitmap"), F.count("*").alias("n")).filter(F.col("n") == len(terms)).select("block", "bitmap")
+        return both.filter(F.bitmap_count("bitmap") > 0)
+    some = own.agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+    if how == "any":
+        return some
+    every = maps.groupBy("block").agg(F.bitmap_or_agg("bitmap").alias("every"))
+    left = every.join(some, "block", "left")
+    # Members of a block are listed and tested, as there is no complement of a bitmap.
+    ids = members(left.select("block", F.col("every").alias("bitmap"))).join(members(left.filter("bitmap IS NOT NULL").select("block", "bitmap")), "record_id", "left_anti")
+    return ids.groupBy(F.bitmap_bucket_number("record_id").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("record_id")).alias("bitmap"))
+
+
+def members(blocks: DataFrame) -> DataFrame:
+    """record_id of each set bit."""
+    byte = F.conv(F.substring(F.hex("bitmap"), 2 * F.col("i") + 1, F.lit(2)), 16, 10).cast("int")
+    each = blocks.select("block", "bitmap", F.explode(F.sequence(F.lit(0), F.octet_length("bitmap") - 1)).alias("i")).select("block", "i", byte.alias("byte")).filter("byte > 0")
+    bits = each.select("block", "i", "byte", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("j")).filter("(shiftright(byte, j) & 1) = 1")
+    # Block 1 starts with id 1; blocks of ids from 0 down count the other way.
+    at = F.col("i") * 8 + F.col("j")
+    return bits.select(F.when(F.col("block") > 0, (F.col("block") - 1) * 32768 + at + 1).otherwise(F.col("block") * 32768 - at).cast("long").alias("record_id"))

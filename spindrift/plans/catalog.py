@@ -135,6 +135,11 @@ class Catalog:
     def cache(self, name: str) -> None:
         self.loaded[name] = self.get(name).cache()
 
+    def preload(self, names: list[str]) -> None:
+        """Loads and caches the categories that a service starts with."""
+        for name in names:
+            self.cache(name)
+
     def unload(self, name: str) -> None:
         """From memory; files stay."""
         if name not in self.loaded:

@@ -9,7 +9,7 @@ from spindrift.operators import partition, postings, proximal
 from spindrift.operators.predicates import Op
 from spindrift.operators.search import matching, search
 from spindrift.plans import categories as C
-from spindrift.plans import meta
+from spindrift.plans import meta, planner
 from spindrift.plans.catalog import Catalog, NotFound
 from spindrift.plans.request import BadRequest, parse
 from spindrift.sources import render, tsv
@@ -130,3 +130,29 @@ def test_stream_appends_records(spark, tmp_path):
     for df, to in ((good, "good"), (rejects, "bad")):
         ingest.append(df, f"{tmp_path}/{to}", f"{tmp_path}/ck-{to}", once=True).awaitTermination(60)
     assert spark.read.parquet(f"{tmp_path}/good").count() == 3 and spark.read.parquet(f"{tmp_path}/bad").count() == 4
+
+
+def test_bitmaps_combine(spark):
+    posted = postings.postings(C.docs(spark, SF).select("record_id", F.struct("tok.lang", "tok.source").alias("tok"), "num")).cache()
+    maps = postings.any_field(postings.bitmaps(posted)).cache()
+    have = {}
+    for r in posted.collect():
+        have.setdefault(r.record_id, set()).add(r.term)
+    for how, test in (("all", lambda s: {"en", "src1"} <= s), ("any", lambda s: bool({"en", "src1"} & s)), ("none", lambda s: not {"en", "src1"} & s)):
+        got = sorted(r.record_id for r in postings.members(postings.combined(maps, ["en", "src1"], how)).collect())
+        assert got == sorted(i for i, s in have.items() if test(s)), how
+
+
+def test_planner_agrees_with_a_scan_and_stops_in_time(spark):
+    docs = C.docs(spark, SF).cache()
+    posted = postings.postings(docs).cache()
+    frequencies = postings.document_frequency(postings.bitmaps(posted)).cache()
+    rare = frequencies.filter("field = 'text' AND df = 1").first().term
+    for words in (rare, "the", f"the {rare}", "nosuchword"):
+        r = parse({"x1": "0", "y1": "0", "numfind": "50", "text": words}, ["text", "lang", "source"], ["n_chars"])
+        df = planner.plan(docs, r, posted, frequencies, docs.count())
+        assert df.collect() == search(docs, r).collect()
+    assert len(planner.collect_within(docs.select("record_id"), 60)) == docs.count()
+    slow = spark.range(1 << 40).agg(F.sum(F.sqrt("id")))
+    with pytest.raises(TimeoutError):
+        planner.collect_within(slow, 1.0)
