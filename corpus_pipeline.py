@@ -5,15 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from spindrift.llm import decontaminate, jaccard, lines, packing, quality
-from spindrift.llm.common import table, written
+from spindrift.llm.common import drop, made, table, written
+
+_last: list[str] = []
+
+
+def _in_turn(stage):
+    """The stage, after the tables of the one before have gone: its result has been written when the next one begins."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop(spark, *_last)
+        before = len(made)
+        out = stage(spark, docs, sf_dir)
+        _last[:] = made[before:]
+        return out
+
+    return run_stage
+
 
 #: (name, function); a function takes (spark, docs, sf_dir).  All but the last return the columns of documents.
 STAGES = [
-    ("quality_classifier", quality.stage),
-    ("line_dedup", lines.stage),
-    ("ngram_jaccard_join", jaccard.stage),
-    ("benchmark_decontamination", decontaminate.stage),
-    ("packing", packing.stage),
+    ("quality_classifier", _in_turn(quality.stage)),
+    ("line_dedup", _in_turn(lines.stage)),
+    ("ngram_jaccard_join", _in_turn(jaccard.stage)),
+    ("benchmark_decontamination", _in_turn(decontaminate.stage)),
+    ("packing", _in_turn(packing.stage)),
 ]
 
 #: The stages are not expressible in SQL; tests/llm/test_pipeline.py compares each with a brute-force version.

@@ -47,10 +47,15 @@ def _drop_at_exit(spark: SparkSession, path: str) -> None:
     fs.deleteOnExit(at)
 
 
+#: Paths in the shared folder that are in use, in the order they were made.
+made: list[str] = []
+
+
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder; it goes when the session's JVM ends."""
+    """A new path in the shared folder; it goes when the session's JVM ends, or before that by drop()."""
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     _drop_at_exit(spark, path)
+    made.append(path)
     return path
 
 
@@ -58,7 +63,18 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends here and a lost executor loses nothing."""
     path = scratch(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def drop(spark: SparkSession, *tables: DataFrame | str) -> None:
+    """Deletes tables of written(), or paths of scratch(), that nothing reads any more."""
+    for t in tables:
+        path = t if isinstance(t, str) else t._scratch
+        if path in made:
+            made.remove(path)
+            drop_path(spark, path)
 
 
 def bounded_batches(spark: SparkSession) -> None:

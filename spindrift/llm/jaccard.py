@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm import bytewords as bw
-from spindrift.llm.common import bounded_batches, parts, shared_dir, table, written
+from spindrift.llm.common import bounded_batches, drop, parts, shared_dir, table, written
 from spindrift.llm.graph import components
 
 WORDS = 5
@@ -279,7 +279,7 @@ def _hopeful(rows: DataFrame) -> DataFrame:
     Of two that link the smaller one reaches its own size, and the larger one reaches the smaller.
     """
     rows = rows.withColumn("reach", F.expr(_REACH))
-    least = rows.filter("reach >= n").groupBy("g").agg(F.min("n").alias("least"))
+    least = rows.filter("reach >= n").groupBy("g").agg(F.min("n").alias("least")).checkpoint()  # on its own, so that a large key's rows can be split in the join
     return rows.join(least, "g").filter("reach >= least").drop("least")
 
 
@@ -348,11 +348,13 @@ def link_classes(sets: DataFrame) -> DataFrame:
     of = keys.groupBy("g").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("c")).alias("x"), F.sum(F.xxhash64("c", F.lit(1)) % (1 << 40)).alias("y")).filter("m > 1")
     same = of.groupBy("m", "x", "y").agg(F.min("g").alias("first"))
     keys = keys.join(of.join(same, ["m", "x", "y"]).select("g", "first"), "g").groupBy(F.col("first").alias("g"), "c", "n").agg(F.max("r").alias("r"))
-    rows = written(_hopeful(written(keys, "keys")), "hopeful")
+    keys = written(keys, "keys")
+    rows = written(_hopeful(keys), "hopeful")
+    drop(sets.sparkSession, keys)
     labels = sets.select("c", F.col("c").alias("label")).distinct()
 
     # Each key's documents against its pivot, the one with the fewest rare n-grams.
-    pivot = rows.groupBy("g").agg(F.min(F.struct(((F.col("n") - F.col("r")) / F.col("n")).alias("rare"), "c", "n", "reach")).alias("p"))
+    pivot = rows.groupBy("g").agg(F.min(F.struct(((F.col("n") - F.col("r")) / F.col("n")).alias("rare"), "c", "n", "reach")).alias("p")).checkpoint()
     near = rows.join(pivot.select("g", "p.*").withColumnsRenamed({"c": "p_c", "n": "p_n", "reach": "p_reach"}), "g")
     pairs = near.filter(f"c <> p_c AND {DEN} * least(n, p_n) >= {NUM} * greatest(n, p_n) AND reach >= p_n AND p_reach >= n").select(F.col("p_c").alias("a"), F.col("c").alias("b")).distinct().checkpoint()
     labels = _relabelled(labels, linked(pairs, sets).select(F.col("a").alias("u"), F.col("b").alias("v")))
@@ -362,7 +364,7 @@ def link_classes(sets: DataFrame) -> DataFrame:
     groups = now.groupBy("g", "label").agg(F.count("*").alias("m"))
     state = groups.groupBy("g").agg(F.sum("m").alias("all"), F.max(F.struct("m", "label")).alias("top"), F.count("*").alias("k")).filter("k > 1")
     blocks = lambda m: f"cast(ceil(({m}) / {BLOCK}D) as int)"
-    state = state.select("g", F.col("top.label").alias("major"), F.expr(blocks("top.m")).alias("kc"), F.expr(blocks("all - top.m")).alias("ku"))
+    state = state.select("g", F.col("top.label").alias("major"), F.expr(blocks("top.m")).alias("kc"), F.expr(blocks("all - top.m")).alias("ku")).checkpoint()
     now = now.join(state, "g").withColumn("own", F.expr("label = major")).withColumn("at", F.expr("cast(pmod(xxhash64(c, 7), IF(own, kc, ku)) as int)"))
     task = "named_struct('kind', {kind}, 'i', {i}, 'j', {j}, 'role', {role})"
     major = f"transform(sequence(0, ku - 1), x -> {task.format(kind=0, i='x', j='at', role=1)})"
@@ -371,7 +373,9 @@ def link_classes(sets: DataFrame) -> DataFrame:
     sent = now.select("g", "c", "label", F.expr(f"explode(IF(own, {major}, concat({minor}, {among})))").alias("t")).select("g", "t.*", "c", "label")
     cut = sent.join(sets.select("c", "n", "segments"), "c").select("g", "kind", "i", "j", "role", "label", "n", "segments")
     cut = cut.repartition("g", "kind", "i", "j").sortWithinPartitions("g", "kind", "i", "j")
-    return _relabelled(labels, cut.mapInArrow(_block_links, "u long, v long"))
+    labels = _relabelled(labels, cut.mapInArrow(_block_links, "u long, v long"))
+    drop(sets.sparkSession, rows)
+    return labels
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -387,6 +391,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     survivors = written(_survivors(scan), "survivors")
     classes = survivors.groupBy("n", "s0", "s1").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("least"))
     classes = written(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
+    drop(spark, survivors)
     reps = classes.select("c", F.col("rep.doc_id").alias("r_id"), F.col("rep.th").alias("r_th"))
     d = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     texts = d.join(reps.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("th") == F.col("r_th"))).select("c", "text")
@@ -394,10 +399,13 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     coded = packed.filter("fragment IS NOT NULL").groupBy("fragment").applyInArrow(_coded, packed.schema)
     both = packed.filter("fragment IS NULL").unionByName(coded)
     sets = written(both.groupBy("batch").applyInArrow(_ordered, "c long, n long, segments array<binary>, keys array<long>, rest array<long>").dropDuplicates(["c"]), "ordered")
+    drop(spark, packed)
     labels = link_classes(sets)
+    drop(spark, sets)
     groups = classes.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
     best = groups.groupBy("label").agg(F.min("least").alias("component"), F.min("rep").alias("keeper"))
     groups = written(groups.join(best, "label").select("n", "s0", "s1", "component", "keeper"), "groups")
+    drop(spark, classes)
     docs = scan.filter("fragment IS NULL").select("doc_id", "th", "n", "s0", "s1")
     out = docs.join(groups, ["n", "s0", "s1"], "left")
     own = F.col("keeper").isNull() | F.struct("doc_id", "th").eqNullSafe(F.col("keeper"))
