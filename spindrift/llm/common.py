@@ -88,6 +88,18 @@ def without(df: DataFrame, names: list[str]) -> list[str]:
     return [c for c in df.columns if c.lower() not in taken]
 
 
+def quoted(names: list[str]) -> list[str]:
+    """Names as they stand in a select, dots and backticks included."""
+    return ["`" + n.replace("`", "``") + "`" for n in names]
+
+
+def shielded(docs: DataFrame, names: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with columns named like names put out of the way, and what gives a result docs' own columns back."""
+    taken = {x.lower() for x in names}
+    new = [f"__own{k}_{c}" if c.lower() in taken else c for k, c in enumerate(docs.columns)]
+    return docs.toDF(*new), lambda out: out.select(*(F.col(q).alias(c) for q, c in zip(quoted(new), docs.columns)))
+
+
 def appended(df: DataFrame, make: Callable[[pa.RecordBatch], dict[str, pa.Array]], adds: str) -> DataFrame:
     """df with columns that make derives from each Arrow batch; a column of df with such a name is replaced.
 
@@ -95,6 +107,9 @@ def appended(df: DataFrame, make: Callable[[pa.RecordBatch], dict[str, pa.Array]
     """
     bounded_batches(df.sparkSession)
     more = T.StructType.fromDDL(adds)
+    plain = [f"__dot{k}" if "." in c or "`" in c else c for k, c in enumerate(df.columns)]
+    back = dict(zip(plain, df.columns))
+    df = df.toDF(*plain)
     keep = without(df, more.names)
     schema = T.StructType([f for f in df.schema if f.name in set(keep)] + more.fields)
 
@@ -105,7 +120,7 @@ def appended(df: DataFrame, make: Callable[[pa.RecordBatch], dict[str, pa.Array]
             new = make(batch)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [new[n] for n in more.names], names=keep + more.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, schema).toDF(*[back[c] for c in keep], *more.names)
 
 
 def parts(spark: SparkSession) -> int:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm import bytewords as bw
-from spindrift.llm.common import appended, table, without
+from spindrift.llm.common import appended, shielded, table
 
 WINDOW = 10
 #: Words that one stretch of text has; all stretches of a chunk move in step.
@@ -184,8 +184,8 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without an occurrence of a benchmark window."""
-    out = contamination(docs, table(spark, sf_dir, "benchmark"))
-    return out.filter(~F.col("contaminated")).select(*without(docs, ["n_words", "n_hit", "items", "contaminated"]))
+    d, own = shielded(docs, ["n_words", "n_hit", "items", "contaminated", "_hits"])
+    return own(contamination(d, table(spark, sf_dir, "benchmark")).filter(~F.col("contaminated")))
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

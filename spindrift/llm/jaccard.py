@@ -418,14 +418,14 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the least doc_id, and one row of it."""
-    found = written(near_duplicates(docs).withColumnsRenamed({"doc_id": "f_id", "th": "f_th"}), "groups")
+    found = written(near_duplicates(docs).withColumnsRenamed({"doc_id": "__f_id", "th": "__f_th"}), "groups")
     th = F.xxhash64("text")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("f_id")) & (th == F.col("f_th"))
-    kept = docs.join(found.filter("NOT keeper").select("f_id", "f_th").distinct(), same, "left_anti")
-    again = found.filter("keeper AND n_shingles > 0").groupBy("f_id", "f_th").agg(F.count("*").alias("m")).filter("m > 1").select("f_id", "f_th")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__f_id")) & (th == F.col("__f_th"))
+    kept = docs.join(found.filter("NOT keeper").select("__f_id", "__f_th").distinct(), same, "left_anti")
+    again = found.filter("keeper AND n_shingles > 0").groupBy("__f_id", "__f_th").agg(F.count("*").alias("m")).filter("m > 1").select("__f_id", "__f_th")
     if again.isEmpty():
         return kept
-    once = kept.join(again, same, "left_semi").withColumn("_th", th).dropDuplicates(["doc_id", "_th"]).drop("_th")
+    once = kept.join(again, same, "left_semi").withColumn("__th", th).dropDuplicates(["doc_id", "__th"]).drop("__th")
     return kept.join(again, same, "left_anti").unionByName(once)
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm import bytewords as bw
-from spindrift.llm.common import appended, remainder, table, without
+from spindrift.llm.common import appended, remainder, shielded, table
 
 COLUMNS = 1024
 RANK = 48
@@ -163,7 +163,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier accepts."""
     model = fit(docs, table(spark, sf_dir, "labels"))
-    return scored(docs, model).filter("predicted = 1").select(*without(docs, ["score", "predicted"]))
+    d, own = shielded(docs, ["score", "predicted"])
+    return own(scored(d, model).filter("predicted = 1"))
 
 
 QUERIES = {"op8_quality": op8_quality}
