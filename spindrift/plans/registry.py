@@ -357,7 +357,20 @@ def _(spark, d):
     return p.agg(F.sum("n").alias("records"), F.count("*").cast("int").alias("parts"))
 
 
-@query("zorder_bits")
+def _bits(c: str) -> str:
+    e = f"CAST(floor(log2(abs({c}))) AS INTEGER)"
+    e = f"({e} + CASE WHEN abs({c}) < pow(2, {e}) THEN -1 WHEN abs({c}) >= pow(2, {e} + 1) THEN 1 ELSE 0 END)"
+    return f"CASE WHEN {c} = 0 THEN 0 ELSE CASE WHEN {c} < 0 THEN 2147483648 ELSE 0 END + CAST({e} + 127 AS BIGINT) * 8388608 + CAST(round((abs({c}) / pow(2, {e}) - 1) * 8388608) AS BIGINT) END"
+
+
+_WOVEN = "list_sum(list_transform(range(32), lambda b: CAST((y >> b) & 1 AS HUGEINT) * CAST(pow(2, 2 * b + 1) AS HUGEINT) + CAST((x >> b) & 1 AS HUGEINT) * CAST(pow(2, 2 * b) AS HUGEINT)))"
+
+
+@query(
+    "zorder_bits",
+    f"""{CTE_PLAIN}, f AS (SELECT record_id, CAST({_bits('lat')} AS BIGINT) AS y, CAST({_bits('lon')} AS BIGINT) AS x FROM docs), w AS (SELECT record_id, {_WOVEN} AS z FROM f)
+ SELECT record_id, CAST(CASE WHEN z >= 9223372036854775808 THEN z - 18446744073709551616 ELSE z END AS BIGINT) AS z FROM w""",
+)
 def _(spark, d):
     return C.docs(spark, d).select("record_id", geo.zorder(F.col("lat"), F.col("lon")).alias("z"))
 
@@ -384,6 +397,13 @@ def _(spark, d):
     return spark.createDataFrame([(x,) for x in docs_request(_EXPLAINED).explain()], "line string")
 
 
-@query("result_lines")
+_CUSTOMERS = f"SELECT c_custkey AS record_id, concat_ws(chr(9), CAST(c_custkey AS VARCHAR), c_name, c_mktsegment) AS raw_line, {_place('c_custkey')} FROM customer"
+
+
+@query(
+    "result_lines",
+    f"""WITH c AS ({_CUSTOMERS}), h AS (SELECT *, {MILES} AS miles, {sql_compass()} AS compass FROM c ORDER BY miles, record_id LIMIT 20)
+ SELECT concat_ws(chr(9), raw_line, CAST(lat AS VARCHAR), CAST(lon AS VARCHAR), CAST(round(miles * 1609.343994140625, 3) AS VARCHAR), compass, '') AS line FROM h""",
+)
 def _(spark, d):
     return render.lines(search(C.customers(spark, d), parse(f"{AT}&numfind=20", ["name", "segment"], ["acctbal", "nationkey"])))
