@@ -15,9 +15,9 @@ def _in_turn(stage):
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         drop(spark, *_last)
-        before = len(made)
+        before = len(made.paths)
         out = stage(spark, docs, sf_dir)
-        _last[:] = made[before:]
+        _last[:] = made.paths[before:]
         return out
 
     return run_stage

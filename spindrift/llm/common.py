@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -47,15 +47,21 @@ def _drop_at_exit(spark: SparkSession, path: str) -> None:
     fs.deleteOnExit(at)
 
 
-#: Paths in the shared folder that are in use, in the order they were made.
-made: list[str] = []
+class _Made(threading.local):
+    """A thread's paths in the shared folder that are in use, in the order they were made."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+made = _Made()
 
 
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder; it goes when the session's JVM ends, or before that by drop()."""
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     _drop_at_exit(spark, path)
-    made.append(path)
+    made.paths.append(path)
     return path
 
 
@@ -72,9 +78,9 @@ def drop(spark: SparkSession, *tables: DataFrame | str) -> None:
     """Deletes tables of written(), or paths of scratch(), that nothing reads any more."""
     for t in tables:
         path = t if isinstance(t, str) else t._scratch
-        if path in made:
-            made.remove(path)
-            drop_path(spark, path)
+        if path in made.paths:
+            made.paths.remove(path)
+        drop_path(spark, path)
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -123,6 +129,17 @@ def appended(df: DataFrame, make: Callable[[pa.RecordBatch], dict[str, pa.Array]
     return df.mapInArrow(run, schema).toDF(*[back[c] for c in keep], *more.names)
 
 
+def least_hashed(df: DataFrame, columns: list[str], n: int) -> DataFrame:
+    """At most n rows, those whose columns have the least hashes.
+
+    Hashes are even, so a cut at four times the share of n leaves few rows to sort, however many there are.
+    """
+    total, h = df.count(), F.xxhash64(*columns)
+    if total > 8 * n:
+        df = df.filter(h < int(4 * n / total * 2**64) - 2**63)
+    return df.orderBy(h, *columns).limit(n)
+
+
 def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from spindrift.llm import bytewords as bw
 from spindrift.llm import subwords
 from spindrift.llm.attention import CONTEXT, DIGIT, SPAN, Attention, windows
-from spindrift.llm.common import bounded_batches, parts, remainder, shared_dir, table, written
+from spindrift.llm.common import bounded_batches, least_hashed, parts, remainder, shared_dir, table, written
 
 #: crc32(doc_id as text) modulo FOLDS; HELD_OUT teaches nothing.
 FOLDS, HELD_OUT = 7, 2
@@ -84,7 +84,7 @@ def _with_ends(words: np.ndarray, first: np.ndarray, end: int) -> tuple[np.ndarr
 
 def fit(documents: DataFrame, path: str, sample: int = SAMPLE, steps: int = STEPS) -> Attention:
     """The attention model of a sample: the documents not held out with the least hashes of text and id."""
-    d = documents.filter("NOT held").select("text").orderBy(F.xxhash64("text", "doc_id")).limit(sample)
+    d = least_hashed(documents.filter("NOT held").select("doc_id", "text"), ["doc_id", "text"], sample).select("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

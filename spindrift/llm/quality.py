@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm import bytewords as bw
-from spindrift.llm.common import appended, remainder, shielded, table
+from spindrift.llm.common import appended, least_hashed, remainder, shielded, table
 
 COLUMNS = 1024
 RANK = 48
@@ -135,7 +135,7 @@ def fitted(x: np.ndarray, labels: np.ndarray) -> Model:
 def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
     """Fits on at most sample of the labelled documents, none of them held out."""
     teach = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", FOLDS) != HELD_OUT))
-    teach = teach.groupBy("doc_id").agg(F.avg(F.col(label).cast("double")).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    teach = least_hashed(teach.groupBy("doc_id").agg(F.avg(F.col(label).cast("double")).alias("y")), ["doc_id"], sample)
     teach = teach.select(F.col("doc_id").alias("t_id"), "y").checkpoint()
     d = documents.select("doc_id", "text").join(F.broadcast(teach), F.col("doc_id") == F.col("t_id")).select("t_id", "y", "text")
     x = appended(d, lambda batch: {"x": pa.array([r.tobytes() for r in terms(batch.column(2))], pa.binary())}, "x binary").select("t_id", "y", "x")
