@@ -403,7 +403,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     labels = link_classes(sets)
     drop(spark, sets)
     groups = classes.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
-    best = groups.groupBy("label").agg(F.min("least").alias("component"), F.min("rep").alias("keeper"))
+    best = groups.groupBy("label").agg(F.min("least").alias("component"), F.min("rep").alias("keeper")).checkpoint()
     groups = written(groups.join(best, "label").select("n", "s0", "s1", "component", "keeper"), "groups")
     drop(spark, classes)
     docs = scan.filter("fragment IS NULL").select("doc_id", "th", "n", "s0", "s1")
