@@ -13,7 +13,7 @@ from spindrift.operators.predicates import Op
 from spindrift.operators.search import matching, nearest_batch, search
 from spindrift.plans import categories as C
 from spindrift.plans import meta
-from spindrift.plans.request import parse
+from spindrift.plans.request import EVERY, parse
 from spindrift.sources import render
 from spindrift.sources.schema import parse_header
 from spindrift.sources.tsv import parse as parse_lines
@@ -133,7 +133,7 @@ def _(spark, d):
 
 # ---- text predicates -------------------------------------------------------------------------------
 
-_ALL = "numfind=1000000"
+_ALL = f"numfind={EVERY}"
 _ANYTOK = "list_concat(t_text, t_lang, t_source)"
 _TEXT = {
     "text_all_of": ("text=the of", "list_has_all(t_text, ['the', 'of'])"),

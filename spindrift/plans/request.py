@@ -12,6 +12,8 @@ from spindrift.operators.predicates import ANY_FIELD, NumberPredicate, Op, TextP
 
 #: Miles that stand for no limit.
 UNLIMITED = 999_999.0
+#: The numfind that asks for every matching record.
+EVERY = "all"
 OPTIONS = {"category", "x1", "y1", "x2", "y2", "d", "numfind", "timeout", "header", "discard_proximal_duplicates", "discard_approximate_locations", "_debug", "_iostats", "_xpred"}
 
 
@@ -132,10 +134,11 @@ def parse(query: str | dict, text_fields: list[str], number_fields: list[str], c
             raise BadRequest(f"{name} is not a number")
         return out
 
-    x, y, k = value("x1"), value("y1"), value("numfind")
-    if x is None or y is None or k is None:
+    every = option.get("numfind") == EVERY
+    x, y, k = value("x1"), value("y1"), None if every else value("numfind")
+    if x is None or y is None or (k is None and not every):
         raise BadRequest("x1, y1 and numfind are required")
-    if k < 0 or k != int(k):
+    if k is not None and (k < 0 or k != int(k)):
         raise BadRequest("numfind is not a whole number")
     value("timeout")
     window, lat, lon = None, y, x
@@ -149,6 +152,6 @@ def parse(query: str | dict, text_fields: list[str], number_fields: list[str], c
     ignored: list[str] = []
     texts, numbers, ranges = predicates(fields, text_fields, number_fields, ignored)
     return SearchRequest(
-        option.get("category", ""), lat, lon, int(k), value("d"), window, texts, numbers, ranges,
+        option.get("category", ""), lat, lon, None if k is None else int(k), value("d"), window, texts, numbers, ranges,
         value("discard_proximal_duplicates", 0.0), option.get("discard_approximate_locations") == "1", compat, ignored,
     )

@@ -9,7 +9,7 @@ from spindrift.operators import partition, postings, proximal
 from spindrift.operators.predicates import Op
 from spindrift.operators.search import matching, search
 from spindrift.plans import categories as C
-from spindrift.plans import meta, planner
+from spindrift.plans import meta, planner, registry
 from spindrift.plans.catalog import Catalog, NotFound
 from spindrift.plans.request import BadRequest, parse
 from spindrift.sources import render, tsv
@@ -156,3 +156,10 @@ def test_planner_agrees_with_a_scan_and_stops_in_time(spark):
     slow = spark.range(1 << 40).agg(F.sum(F.sqrt("id")))
     with pytest.raises(TimeoutError):
         planner.collect_within(slow, 1.0)
+
+
+def test_queries_without_a_limit_in_sql_have_none(spark):
+    assert parse("x1=0&y1=0&numfind=all", [], []).k is None and parse("x1=0&y1=0&numfind=1000000", [], []).k == 1000000
+    for name in (*registry._TEXT, *registry._MIXED_QUERIES, "num_float_compat", "radius_antimeridian", "window_compat_circle", "discard_approximate", "result_stats", "false_positives"):
+        plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Limit" not in plan, name
