@@ -332,6 +332,11 @@ def _(spark, d):
     return postings.document_frequency(postings.bitmaps(postings.postings(C.docs(spark, d)).filter("field <> 'text'")))
 
 
+@query("postings_bitmaps_all", f"{CTE_DOCS}, {_POSTED} SELECT field, term, count(*) AS df FROM p GROUP BY ALL")
+def _(spark, d):
+    return postings.document_frequency(postings.bitmaps(postings.postings(C.docs(spark, d))))
+
+
 _GRID = "CAST(least(greatest(floor(({c} - {low}) / {span} * 65536), 0), 65535) AS BIGINT)"
 _CELL = "CAST(list_sum(list_transform(range(16), lambda b: (((gy >> CAST(b AS BIGINT)) & 1) << CAST(2 * b + 1 AS BIGINT)) | (((gx >> CAST(b AS BIGINT)) & 1) << CAST(2 * b AS BIGINT)))) AS BIGINT)"
 _CELLS = f"g AS (SELECT *, {_GRID.format(c='lat', low='-90.0', span='180.0')} AS gy, {_GRID.format(c='lon', low='-180.0', span='360.0')} AS gx FROM docs), cells AS (SELECT *, {_CELL} AS cell FROM g)"

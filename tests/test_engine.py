@@ -163,3 +163,12 @@ def test_queries_without_a_limit_in_sql_have_none(spark):
     for name in (*registry._TEXT, *registry._MIXED_QUERIES, "num_float_compat", "radius_antimeridian", "window_compat_circle", "discard_approximate", "result_stats", "false_positives"):
         plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         assert "Limit" not in plan, name
+
+
+def test_bitmaps_of_all_fields_count_the_texts_terms(spark):
+    want = {}
+    for r in C.docs(spark, SF).select("tok.text").collect():
+        for t in set(r.text):
+            want[t] = want.get(t, 0) + 1
+    got = registry.QUERIES["postings_bitmaps_all"](spark, SF).filter("field = 'text'").collect()
+    assert len(want) > 100 and {r.term: r.df for r in got} == want
