@@ -170,39 +170,41 @@ def _fields(lines: list[bytes]) -> dict[str, str]:
 def records(file, start: int, end: int | None, wanted, payload: bool) -> Iterator[Record]:
     """Records of gzip members or of plain text from start to end.  wanted(headers): whether to give the record."""
     w = _Window(file, start)
+    inside = False  # a gzip member that has more records
     while (end is None or w.at < end) and w.need(2):
-        zipped = w.data[:2] == b"\x1f\x8b"
-        size = None
-        if zipped:
-            flags, skip = w.need(12)[3], 10
-            if flags & 4:
-                extra = struct.unpack_from("<H", w.data, 10)[0]
-                x, skip = w.need(12 + extra)[12 : 12 + extra], 12 + extra
-                while len(x) >= 4:
-                    tag, n = struct.unpack_from("<2sH", x)
-                    if tag == b"sl" and n == 8:
-                        size = struct.unpack_from("<I", x, 4)[0]
-                    x = x[4 + n :]
-            inflate = zlib.decompressobj(31)
-            plain, used = b"", 0
-
-            def more() -> bool:
-                nonlocal plain, used
-                chunk = w.need(used + 4096)[used : used + 4096]
-                if not chunk or inflate.eof:
-                    return False
-                plain += inflate.decompress(chunk)
-                used += len(chunk) - len(inflate.unused_data)
-                return True
-        else:
-            plain, used = b"", 0
+        if not inside:
+            zipped = w.data[:2] == b"\x1f\x8b"
+            size = None
+            if zipped:
+                flags, skip = w.need(12)[3], 10
+                if flags & 4:
+                    extra = struct.unpack_from("<H", w.data, 10)[0]
+                    x, skip = w.need(12 + extra)[12 : 12 + extra], 12 + extra
+                    while len(x) >= 4:
+                        tag, n = struct.unpack_from("<2sH", x)
+                        if tag == b"sl" and n == 8:
+                            size = struct.unpack_from("<I", x, 4)[0]
+                        x = x[4 + n :]
+                inflate = zlib.decompressobj(31)
+                plain, used = b"", 0
+
+                def more() -> bool:
+                    nonlocal plain, used
+                    chunk = w.need(used + 4096)[used : used + 4096]
+                    if not chunk or inflate.eof:
+                        return False
+                    plain += inflate.decompress(chunk)
+                    used += len(chunk) - len(inflate.unused_data)
+                    return True
+            else:
+                plain, used = b"", 0
 
-            def more() -> bool:
-                nonlocal plain, used
-                chunk = w.need(used + 4096)[used : used + 4096]
-                plain += chunk
-                used += len(chunk)
-                return bool(chunk)
+                def more() -> bool:
+                    nonlocal plain, used
+                    chunk = w.need(used + 4096)[used : used + 4096]
+                    plain += chunk
+                    used += len(chunk)
+                    return bool(chunk)
 
         while (stop := plain.find(b"\r\n\r\n")) < 0 and more():
             pass
@@ -225,12 +227,13 @@ def records(file, start: int, end: int | None, wanted, payload: bool) -> Iterato
             if payload:
                 if zipped and not inflate.eof:
                     rest = w.need(size or used)
-                    parts = [plain]
-                    while not inflate.eof:
+                    parts, have = [plain], len(plain)
+                    while not inflate.eof and (size or have < total):
                         chunk = rest[used : size] if size else w.need(used + _READ)[used : used + _READ]
                         if not chunk:
                             raise ValueError(f"cut off record at byte {w.at}")
                         parts.append(inflate.decompress(chunk))
+                        have += len(parts[-1])
                         used += len(chunk) - len(inflate.unused_data)
                     plain = b"".join(parts)
                 elif not zipped:
@@ -244,9 +247,15 @@ def records(file, start: int, end: int | None, wanted, payload: bool) -> Iterato
         elif size:
             w.at, w.data = (w.at + size, w.data[size:]) if len(w.data) >= size else (w.at + size, b"")
         else:
-            while not inflate.eof and more():
-                plain = plain[-8:]
-            w.skip(used)
+            left = total
+            while len(plain) < left and more():
+                if len(plain) < left:
+                    left, plain = left - len(plain), b""
+            plain = plain[left:].lstrip()
+            while not plain and more():
+                plain = plain.lstrip()
+            if not (inside := bool(plain)):
+                w.skip(used)
 
 
 class Reader(DataSourceReader):

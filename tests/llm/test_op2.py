@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import io
 from collections import defaultdict
 
 from spindrift.llm import warc
@@ -58,3 +59,12 @@ def test_foreign_archives(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert warc.op2_warc(spark, str(tmp_path)).count() == 0
+
+
+def test_records_of_one_gzip_member():
+    blocks = [b"x" * n for n in (5, 0, 300000, 70)] + [hashlib.sha256(b"%d" % k).hexdigest().encode() * 900 for k in range(4)]
+    plain = b"".join(b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(b), b) for b in blocks)
+    data = gzip.compress(plain) + gzip.compress(plain[: plain.index(b"WARC/1.0", 8)])
+    for payload in (True, False):
+        got = [(int(r.headers["content-length"]), r.payload) for r in warc.records(io.BytesIO(data), 0, None, lambda h: True, payload)]
+        assert got == [(len(b), b if payload else None) for b in [*blocks, blocks[0]]]
