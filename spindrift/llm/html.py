@@ -1,14 +1,18 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
-A page is cut into blocks at block-level tags.  A block's features are its word count and link
-density, those of the blocks before and after it, whether it stands inside what marks the main
-part (article, main, ...) or what marks the rest (nav, footer, adverts, comments, ...), whether the
-page marks a main part at all, and whether the block is a heading.  The tree (CART, Gini) is
-trained on the blocks of a few small labelled pages, TEACH, in which a bar before a text marks content.
+A page is cut into blocks at block-level tags.  A block's features are its word count and link density,
+those of the two blocks before and after it, which of them are headings or paragraphs, the longest block
+before and after, the headings so far, its distance from the page's ends, and whether it stands inside
+what marks the main part (article, main, ...) or what marks the rest (nav, footer, adverts, comments, ...).
+The tree (CART, Gini) is trained on the blocks of a small labelled table: the pages TEACH, in which a bar
+before a text marks content, and pages put together by rule, each with all its marks, with its tags' names
+alone, and without any.  So marks help where a page has them, and neighbours decide where it has none.
 
 Scripts, styles, forms' fields, comments and markup give no text.  Character references are decoded,
 white space inside a block becomes one space, blocks are joined by one line end in page order.  A null
-or empty page has an empty text.  Tags left open end with what they are in.
+or empty page has an empty text, repeated rows each have theirs, an empty table has none.  Tags left open
+end with what they are in; an element without text of its own that is never closed ends at the next tag.
+Work is in proportion to a page's length.  A column of pages named text is replaced, others stay.
 """
 
 from __future__ import annotations
@@ -45,13 +49,16 @@ _REST_WORDS = {
     "subscribe", "subscription", "toolbar", "topbar", "trending", "widget",
 }
 
-MAIN, REST, LINK, HEADING, RAW = 1, 2, 4, 8, 16
-FEATURES = 10
+MAIN, REST, LINK, HEADING, PARAGRAPH = 1, 2, 4, 8, 16
+_PARAGRAPHS = {"p", "blockquote", "pre"}
+#: Blocks on either side that a block's features tell of.
+REACH = 2
+FEATURES = 4 * (2 * REACH + 1) + 8
 
 
 def _kind(name: str, attributes: str, inside: int) -> int:
     """What an element adds to what its text is inside of."""
-    out = LINK if name == "a" else HEADING if name in _HEADINGS else 0
+    out = LINK if name == "a" else HEADING if name in _HEADINGS else PARAGRAPH if name in _PARAGRAPHS else 0
     if name in _MAIN_TAGS:
         out |= MAIN
     elif name in _REST_TAGS or name == "header" and not inside & MAIN:
@@ -74,88 +81,143 @@ def _kind(name: str, attributes: str, inside: int) -> int:
     return out
 
 
+class _Open:
+    """The open elements, block by block: a closing tag that matches none of them costs nothing."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int]] = [("", 0)]  # element, what its text is inside of
+        self.blocks: dict[str, int] = {}  # open block elements by name
+        self.inline: list[dict[str, int]] = [{}]  # open inline elements by name, within each open block element
+
+    @property
+    def inside(self) -> int:
+        return self.stack[-1][1]
+
+    def push(self, name: str, attributes: str) -> None:
+        self.stack.append((name, self.inside | _kind(name, attributes, self.inside)))
+        if name in _INLINE:
+            self.inline[-1][name] = self.inline[-1].get(name, 0) + 1
+        else:
+            self.blocks[name] = self.blocks.get(name, 0) + 1
+            self.inline.append({})
+
+    def pop(self) -> str:
+        name = self.stack.pop()[0]
+        if name in _INLINE:
+            self.inline[-1][name] -= 1
+        else:
+            self.blocks[name] -= 1
+            self.inline.pop()
+        return name
+
+    def close(self, name: str) -> None:
+        """A closing inline tag ends nothing outside its block."""
+        if (self.inline[-1] if name in _INLINE else self.blocks).get(name):
+            while self.pop() != name:
+                pass
+
+    def begin(self, name: str) -> None:
+        """A paragraph or list item ends at the next one, and inline tags left open end with it."""
+        while len(self.stack) > 1 and (self.stack[-1][0] in _INLINE or self.stack[-1][0] == "p" or self.stack[-1][0] == name and name in ("li", "dt", "dd", "tr", "td", "th")):
+            self.pop()
+
+
 def blocks(page: str | None) -> list[tuple[str, int, int, int]]:
     """(text, words, words inside links, what it is inside of) of each block with text."""
     out: list[tuple[str, int, int, int]] = []
     if not page:
         return out
-    stack: list[tuple[str, int]] = [("", 0)]  # element, what its text is inside of
-    parts: list[str] = []
-    links = [0]
-    state = [0]
-
-    def text(raw: str, inside: int) -> None:
-        if raw:
-            raw = entities.unescape(raw) if "&" in raw else raw
-            if not parts or state[0] == 0:
-                state[0] = inside
-            if not raw.isspace():
-                state[0] = inside if not any(not p.isspace() for p in parts) else state[0]
-                if inside & LINK:
-                    links[0] += len(raw.split())
-            parts.append(raw)
+    opened, parts = _Open(), []
+    links = state = 0
+    empty, endless = True, set()  # no text in parts yet; names of elements that have no end from here on
 
     def close() -> None:
-        if parts:
+        nonlocal links, state, empty
+        if not empty:
             words = "".join(parts).split()
             if words:
-                out.append((" ".join(words), len(words), min(links[0], len(words)), state[0]))
-            parts.clear()
-        links[0] = state[0] = 0
+                out.append((" ".join(words), len(words), min(links, len(words)), state))
+        parts.clear()
+        links, state, empty = 0, 0, True
+
+    def text(raw: str) -> None:
+        nonlocal links, state, empty
+        raw = entities.unescape(raw) if "&" in raw else raw
+        parts.append(raw)
+        if raw.isspace():
+            return
+        if empty:
+            state, empty = opened.inside, False
+        if opened.inside & LINK:
+            links += len(raw.split())
 
     at, n = 0, len(page)
+    tags = page.rfind(">") + 1  # no tag ends behind it
     while at < n:
-        m = _TOKEN.search(page, at)
+        m = _TOKEN.search(page, at, tags)
         if m is None:
-            text(page[at:], stack[-1][1])
+            left = _DECLARATION.search(page, max(at, tags))
+            text(page[at : left.start() if left else n])
             break
         if m.start() > at:
-            text(page[at : m.start()], stack[-1][1])
+            text(page[at : m.start()])
         at = m.end()
         name = m[2] or m[5]
         if not name:
+            if at == tags and _DECLARATION.match(m[0]) and not m[0].endswith(">" if m[0][2] not in "-[" else "-->" if m[0][2] == "-" else "]]>"):
+                break
             continue
         name = name.lower()
+        attributes = m[3] or m[6] or ""
         if m[1] or m[4]:
             if name not in _INLINE:
                 close()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-                # A closing inline tag ends nothing outside its block.
-                if name in _INLINE and stack[k][0] not in _INLINE:
-                    break
-            continue
-        if name in _RAW:
+            opened.close(name)
+        elif name in _RAW:
             if name not in ("button", "select", "option", "svg", "math"):
                 close()
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
-            if not (m[3] or m[6] or "").rstrip().endswith("/"):
-                at = end.end() if end else n if name in ("script", "style") else at
-            continue
-        if name == "br":
+            if attributes.rstrip().endswith("/") and name not in ("script", "style"):
+                continue
+            end = None if name in endless else _END[name].search(page, at)
+            if end is None:
+                endless.add(name)
+                at = n if name in ("script", "style") else page.find("<", at) % (n + 1)
+            else:
+                at = end.end()
+        elif name == "br":
             parts.append(" ")
-            continue
-        if name not in _INLINE:
-            close()
-            # A paragraph or list item ends at the next one, and inline tags left open end with it.
-            while len(stack) > 1 and (stack[-1][0] in _INLINE or stack[-1][0] == "p" or stack[-1][0] == name and name in ("li", "dt", "dd", "tr", "td", "th", "option")):
-                stack.pop()
-        if name not in _VOID:
-            inside = stack[-1][1]
-            stack.append((name, inside | _kind(name, m[3] or m[6] or "", inside)))
+        else:
+            if name not in _INLINE:
+                close()
+                opened.begin(name)
+                if name == "body":
+                    opened.close("head")
+            if name not in _VOID:
+                opened.push(name, attributes)
     close()
     return out
 
 
+_DECLARATION = re.compile(r"<[!?]")
+_END = {name: re.compile(rf"</{name}\b[^>]*>?", re.I) for name in _RAW}
+
+
 def features(page: list[tuple[str, int, int, int]]) -> np.ndarray:
-    """One row for each block: words and link density of the one before, itself, the one after; then the marks."""
-    words = np.array([0, *(b[1] for b in page), 0], dtype=np.float64)
-    density = np.array([0, *(b[2] for b in page), 0]) / np.maximum(words, 1)
+    """A row for each block: of it and its neighbours words, link density, heading, paragraph; then of the page around it, and marks."""
+    n = len(page)
+    words = np.array([b[1] for b in page], dtype=np.float64)
     inside = np.array([b[3] for b in page], dtype=np.int64)
-    marked = bool(((inside & MAIN) > 0)[(inside & REST) == 0].any()) if len(page) else False
-    return np.stack([words[:-2], density[:-2], words[1:-1], density[1:-1], words[2:], density[2:], (inside & MAIN) > 0, (inside & REST) > 0, np.full(len(page), marked), (inside & HEADING) > 0], axis=1).astype(np.float64).reshape(len(page), FEATURES)
+    own = np.stack([words, np.array([b[2] for b in page]) / np.maximum(words, 1), (inside & HEADING) > 0, (inside & PARAGRAPH) > 0], axis=1).astype(np.float64).reshape(n, 4)
+    wide = np.concatenate([np.full((REACH, 4), -1.0), own, np.full((REACH, 4), -1.0)])
+    near = [wide[k : k + n] for k in range(2 * REACH + 1)]
+    plain = np.where(own[:, 1] < 0.5, words, 0)  # of blocks that are not links
+    before = np.concatenate([[0], np.maximum.accumulate(plain)[:-1]]) if n else plain
+    after = np.concatenate([np.maximum.accumulate(plain[::-1])[::-1][1:], [0]]) if n else plain
+    heads = np.minimum(np.cumsum(own[:, 2]), 3)
+    marked = bool(((inside & MAIN) > 0)[(inside & REST) == 0].any())
+    place = np.arange(n)
+    rest = np.stack([before, after, heads, np.minimum(place, 8), np.minimum(n - 1 - place, 8), (inside & MAIN) > 0, (inside & REST) > 0, np.full(n, marked)], axis=1).astype(np.float64)
+    return np.concatenate([*near, rest.reshape(n, 8)], axis=1).reshape(n, FEATURES)
 
 
 #: The labelled pages; a bar before a text marks a block of the main text.
@@ -221,16 +283,64 @@ class Tree:
         return self.table[at, 4] >= 0.5
 
 
+def _page(r: np.random.Generator) -> tuple[list[tuple[str, str, str, bool]], bool]:
+    """Parts of a page put together by rule: (tag that marks it, class that marks it, markup, whether it is content)."""
+    some = lambda lo, hi: " ".join(["word"] * int(r.integers(lo, hi + 1)))
+    link = lambda n: f"<a href=x>{some(1, n)}</a>"
+    items = lambda: "<ul>" + "".join(f"<li>{link(3)}</li>" for _ in range(r.integers(2, 9))) + "</ul>"
+    line = lambda: " ".join(link(2) for _ in range(r.integers(2, 6)))
+    parts, odds = [], r.random(12)
+    if odds[0] < 0.9:
+        parts.append(("nav", "menu", items() if odds[1] < 0.7 else line(), False))
+    if odds[2] < 0.3:
+        parts.append(("header", "header", f"{some(1, 6)}" + (f"<div>{some(3, 12)}</div>" if odds[1] < 0.5 else ""), False))
+    if odds[3] < 0.5:
+        parts.append(("div", "ad", some(3, 14), False))
+    elif odds[3] < 0.65:
+        parts.append(("div", "notice", some(8, 25), False))
+    size = int(r.choice([8, 40, 120]))
+    body = f"<h1>{some(1, 16)}</h1>"
+    for k in range(int(r.choice([1, 2, 4, 9, 16]))):
+        body += f"<h2>{some(1, 6)}</h2>" if k and r.random() < 0.08 else ""
+        if r.random() < 0.06:
+            body += "<ul>" + "".join(f"<li>{some(2, 20)}</li>" for _ in range(r.integers(2, 5))) + "</ul>"
+        body += f"<p>{some(1, 5) if r.random() < 0.2 else some(4, size)}{' ' + link(3) + ' ' + some(1, 9) if r.random() < 0.1 else ''}</p>"
+    parts.append(("article", "content", body, True))
+    if odds[4] < 0.25:
+        parts.append(("aside", "sidebar", f"<h3>{some(1, 3)}</h3>{items()}", False))
+    if odds[5] < 0.15:
+        parts.append(("form", "subscribe", f"{some(3, 20)}", False))
+    if odds[6] < 0.8:
+        parts.append(("footer", "footer", some(3, 16) if odds[7] < 0.7 else f"{some(1, 5)} {line()}", False))
+    return parts, odds[8] < 0.15
+
+
+#: Pages put together by rule, and the seed.
+RULED, SEED = 160, 11
+
+
 def labelled() -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the blocks of TEACH."""
-    pages = [blocks(p) for p in TEACH]
-    y = np.array([b[0].startswith("|") for p in pages for b in p], dtype=np.float64)
-    return np.concatenate([features([(t.lstrip("|"), *rest) for t, *rest in p]) for p in pages]), y
+    """Features and labels of the blocks of the labelled table."""
+    rows, labels = [], []
+    for page in TEACH:
+        cut = blocks(page)
+        rows.append(features([(t.lstrip("|"), *rest) for t, *rest in cut]))
+        labels += [t.startswith("|") for t, *_ in cut]
+    r = np.random.default_rng(SEED)
+    for _ in range(RULED):
+        parts, comments = _page(r)
+        for marks in range(3):  # all, tags alone, none
+            more = [("section", "comments", "<h3>word</h3>" + "<p>word word word word word word word</p>" * 3, False)] if comments and marks == 0 else []
+            named = [(tag if marks < 2 and tag != "div" else "div", f" class={name}" if marks == 0 and tag != "article" else "", body, good) for tag, name, body, good in parts + more]
+            cut = [blocks(f"<{tag}{name}>{body}</{tag}>") for tag, name, body, _ in named]
+            rows.append(features(blocks("".join(f"<{tag}{name}>{body}</{tag}>" for tag, name, body, _ in named))))
+            labels += [good for (_, _, _, good), own in zip(named, cut) for _ in own]
+    return np.concatenate(rows), np.array(labels, dtype=np.float64)
 
 
 @functools.cache
 def tree() -> Tree:
-    return Tree(*labelled())
+    return Tree(*labelled(), depth=14)
 
 
 def main_texts(pages: list[str | None]) -> list[str]:
