@@ -16,8 +16,6 @@ CHUNK = 1 << 20
 WORD5 = 5
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
-_BASE = 0xD1342543DE82EF95
-_INV = pow(_BASE, -1, 1 << 64)
 _MASK = (1 << 64) - 1
 #: One odd multiplier for each place of a sequence of words.
 _PLACE = np.array([(0xA0761D6478BD642F * (2 * k + 1) ** 3 + 2 * k) & _MASK | 1 for k in range(64)], dtype=np.uint64)
@@ -96,24 +94,30 @@ def spans(data: np.ndarray, at: np.ndarray, table: np.ndarray) -> tuple[np.ndarr
 _powers: list[np.ndarray] = []
 
 
-def _tables(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse, at least n + 1 of each."""
-    if not _powers or len(_powers[0]) <= n:
-        size = max(n + 1, 2 * CHUNK)
-        for k, b in enumerate((_BASE, _INV)):
-            out = np.full(size, np.uint64(b), dtype=np.uint64)
-            out[0] = 1
-            np.multiply.accumulate(out, out=out)
-            _powers[k : k + 1] = [out]
-    return _powers
+def powers(n: int) -> np.ndarray:
+    """At least n powers of an odd number, one for each place of a long sequence."""
+    if not _powers or len(_powers[0]) < n:
+        out = np.full(max(n, 1 << 16), np.uint64(0xD1342543DE82EF95), dtype=np.uint64)
+        _powers[:] = [np.multiply.accumulate(out, out=out)]
+    return _powers[0]
+
+
+_EIGHTH = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes."""
-    power, inverse = _tables(len(data))
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _MUL)
+    """A 64-bit hash of each span of bytes, eight bytes at a time."""
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded.data, 0, (1,))  # from every byte on
+    size = ends - starts
+    out = size.astype(np.uint64) * _MUL + (eight[starts] & _EIGHTH[np.minimum(size, 8)]) * _PLACE[0]
+    at, on = 8, np.flatnonzero(size > 8)
+    while len(on):
+        out[on] = mix(out[on]) + (eight[starts[on] + at] & _EIGHTH[np.minimum(size[on] - at, 8)]) * _PLACE[1]
+        at += 8
+        on = on[size[on] > at]
+    return mix(out)
 
 
 def sequences(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
