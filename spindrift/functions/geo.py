@@ -44,16 +44,11 @@ def compass(lat, lon, lat2, lon2) -> Column:
 
 
 def approximate(lat: Column, lon: Column) -> Column:
-    """Whether the decimals mark a place as approximate: ***107 and ***001, 004, 020, 100 or 999."""
+    """Whether the decimals mark a place as approximate.  Fixed values: ***107 and ***001, 004, 020, 100 or 999."""
     text = lambda c: F.regexp_extract(c.cast("string"), r"\.(.*)$", 1)
     return text(lat).rlike("^[0-9]{3}107$") & text(lon).rlike("^[0-9]{3}(001|004|020|100|999)$")
 
 
-def same_point(lat, lon, lat2, lon2) -> Column:
-    lat, lon, lat2, lon2 = map(_col, (lat, lon, lat2, lon2))
-    return (F.abs(lat - lat2) <= EPSILON) & (F.abs(lon - lon2) <= EPSILON)
-
-
 def in_rectangle(lat: Column, lon: Column, south: float, west: float, north: float, east: float) -> Column:
     return lat.between(south, north) & lon.between(west, east)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions.text import NULL, TRIM, trimmed
 
+# How dates and numbers are written, and, below, what is taken off them.
 DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}( [0-9]{2}:[0-9]{2}(:[0-9]{2})?)?$"
 NUMBER = r"^[+-]?[0-9]+(\.[0-9]*)?$"
 

@@ -12,28 +12,28 @@ NULL = "_null"
 NOT_PRINTABLE = r"[^ -~]\]"
 SYMBOLS = r"[!@#$%^&*()/_=`'+,.:;\"\-?~<>{}\[\]\\|]"
 BLANKS = r"[ \t\n\x0B\f\r]{2,}"
-TRIM = r"^[\x00-\x20]+|[\x00-\x20]+$"
+TRIM = r"^[\x00-\x20]+|[\x00-\x20]+\Z"
 ORDINAL = r"^([0-9]+)(st|nd|rd|th)$"
+# Leading zeros of a term, of zeros alone all but one; and the suffix of a term that is an ordinal number.  A term
+# begins at the start or after a space, and ends before a space or the end, a line end before these not counted.
+ZEROS = r"(?<![^ ])0+(?=[^ ])"
+SUFFIX = r"(?<![^ ])([0-9]+)(?:st|nd|rd|th)(?=(?:\r\n|[\n\r\u0085\u2028\u2029])?(?: |\z))"
+_ENDS = "".join(map(chr, range(0x21)))
 
 
 def trimmed(c: Column) -> Column:
     """Without characters up to U+0020 at both ends."""
-    return F.regexp_replace(c, TRIM, "")
-
-
-def clean_term(t: Column) -> Column:
-    """A term without leading zeros and without the ordinal suffix of a number; zeros alone are 0."""
-    bare = F.regexp_replace(t, "^0+", "")
-    bare = F.when((F.length(t) > 0) & (bare == ""), F.lit("0")).otherwise(bare)
-    return F.regexp_replace(bare, ORDINAL, "$1")
+    return F.btrim(c, F.lit(_ENDS))
 
 
 def clean_text(c: Column) -> Column:
-    """The normal form of a text field; _null and null are empty."""
-    s = F.regexp_replace(F.regexp_replace(c, NOT_PRINTABLE, " "), SYMBOLS, " ")
+    """The normal form of a text field; _null and null are empty.
+
+    One chain that names each step's input once, so that no step is evaluated again, whatever Catalyst inlines.
+    """
+    s = F.regexp_replace(c, f"{NOT_PRINTABLE}|{SYMBOLS}", " ")
     s = F.lower(trimmed(F.regexp_replace(s, BLANKS, " ")))
-    terms = F.array_join(F.transform(F.split(s, " ", -1), clean_term), " ")
-    s = F.when(s.rlike("[0-9]"), trimmed(terms)).otherwise(s)
+    s = trimmed(F.regexp_replace(F.regexp_replace(s, ZEROS, ""), SUFFIX, "$1"))
     return F.when(c.isNull() | (F.lower(c) == NULL), F.lit("")).otherwise(s)
 
 

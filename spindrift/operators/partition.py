@@ -18,9 +18,18 @@ def numbered(category: DataFrame, parts: int) -> DataFrame:
     return by_cell(category, parts).withColumn("part", F.spark_partition_id())
 
 
-def write(category: DataFrame, path: str, parts: int) -> None:
-    """One folder for each part; an existing path is an error."""
+def write(category: DataFrame, path: str, parts: int, header: str | None = None) -> None:
+    """One folder for each part, each with a copy of the header in _header; an existing path is an error."""
     numbered(category, parts).write.mode("errorifexists").partitionBy("part").parquet(path)
+    if header is not None:
+        spark = category.sparkSession
+        root = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for x in fs.listStatus(root):
+            if x.isDirectory():
+                out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(x.getPath(), "_header"))
+                out.write(bytearray(header.encode()))
+                out.close()
 
 
 def bounds(records: DataFrame, key: str) -> DataFrame:

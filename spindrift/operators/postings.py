@@ -23,6 +23,11 @@ def write(posted: DataFrame, path: str) -> None:
     posted.repartitionByRange("term").sortWithinPartitions("term", "field", "record_id").write.mode("overwrite").parquet(path)
 
 
+def lengths(posted: DataFrame) -> DataFrame:
+    """(term, field, df): how many records a posting list has."""
+    return posted.groupBy("term", "field").agg(F.count("*").alias("df"))
+
+
 def matching(posted: DataFrame, records: DataFrame, field: str, op: Op, keywords: list[str]) -> DataFrame:
     """records that have all, any or none of the keywords in a field, or in any one."""
     hits = posted.filter(F.col("term").isin(keywords))

@@ -34,32 +34,29 @@ class TextPredicate:
     keywords: tuple[str, ...]
 
     def column(self, text: list[str], number: list[str]) -> Column:
-        words = F.array(*(F.lit(k) for k in self.keywords))
-        tok, zero = _tokens(self.field, text, number)
-        has = lambda k: F.array_contains(tok, k) | zero if k == "" and zero is not None else F.array_contains(tok, k)
-        if "" in self.keywords and zero is not None:
-            each = [has(k) for k in self.keywords]
+        """Terms have one space between them, so a keyword with a space on either side is looked for in the text.
+
+        The fields are bound once: their cleaning is not evaluated again for each keyword.
+        """
+        zero = None
+        for n in number if self.field == ANY_FIELD else [self.field] if self.field in number else []:
+            z = F.col(f"num.{n}") == 0
+            zero = z if zero is None else zero | z
+        fields = text if self.field == ANY_FIELD else [] if self.field in number else [self.field]
+
+        def test(joined: Column | None, empty: Column | None) -> Column:
+            has = lambda k: F.lit(False) if joined is None else empty if k == "" else joined.contains(f" {k} ")
+            each = [has(k) | zero if k == "" and zero is not None else has(k) for k in self.keywords]
             out = each[0]
             for c in each[1:]:
                 out = out & c if self.op is Op.ALL else out | c
             return ~out if self.op is Op.NONE else out
-        if self.op is Op.ALL:
-            return F.size(F.array_except(words, tok)) == 0
-        overlap = F.arrays_overlap(tok, words)
-        return ~overlap if self.op is Op.NONE else overlap
 
-
-def _tokens(field: str, text: list[str], number: list[str]) -> tuple[Column, Column | None]:
-    """Tokens of a field or of all, and whether a number field counts as empty."""
-    if field == ANY_FIELD:
-        zero = None
-        for n in number:
-            z = F.col(f"num.{n}") == 0
-            zero = z if zero is None else zero | z
-        return F.flatten(F.array(*(F.col(f"tok.{t}") for t in text))), zero
-    if field in number:
-        return F.array().cast("array<string>"), F.col(f"num.{field}") == 0
-    return F.col(f"tok.{field}"), None
+        if not fields:
+            return test(None, None)
+        own = F.array(*(F.col(f"txt.{t}") for t in fields))
+        bound = F.transform(F.array(own), lambda x: F.struct(F.concat(F.lit(" "), F.array_join(x, " "), F.lit(" ")).alias("joined"), F.array_contains(x, "").alias("empty")))
+        return F.exists(bound, lambda x: test(x["joined"], x["empty"]))
 
 
 @dataclass(frozen=True)
@@ -72,7 +69,7 @@ class NumberPredicate:
     others: tuple[float, ...] = ()  # with Op.ANY
 
     def column(self, compat: bool = False) -> Column:
-        c = F.col(f"num.{self.field}")
+        c = F.col(self.field if self.field in ("lat", "lon") else f"num.{self.field}")
         exact = self._test(c, compat)
         if not compat or self.op is Op.NONE:
             return exact
@@ -104,14 +101,15 @@ class TextRange:
     value: str
 
     def column(self) -> Column:
-        s = F.col(f"txt.{self.field}")
         v = F.lit(self.value)
         compare = {Op.LE: lambda a, b: a <= b, Op.LT: lambda a, b: a < b, Op.GE: lambda a, b: a >= b, Op.GT: lambda a, b: a > b}[self.op]
+        s = F.col(f"txt.{self.field}")
         if not is_number(self.value):
             return compare(s, v)
-        n = clean_number(F.when(trimmed(s) == "", "0").otherwise(s))
-        d = n.try_cast("double")
-        return F.when(d.isNotNull(), compare(d, F.lit(float(self.value)))).otherwise(compare(n, v))
+        # Bound step by step, so that the text is cleaned once.
+        n = F.transform(F.array(s), lambda x: clean_number(F.when(trimmed(x) == "", "0").otherwise(x)))
+        both = F.transform(n, lambda x: F.struct(x.alias("n"), x.try_cast("double").alias("d")))
+        return F.exists(both, lambda x: F.when(x["d"].isNotNull(), compare(x["d"], F.lit(float(self.value)))).otherwise(compare(x["n"], v)))
 
 
 def conjunction(columns: list[Column]) -> Column:

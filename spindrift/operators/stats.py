@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -11,10 +11,6 @@ def result_stats(result: DataFrame) -> DataFrame:
     return result.agg(F.count("*").alias("hits"), F.coalesce(F.sum(F.length("raw_line")), F.lit(0)).alias("chars"))
 
 
-def false_positives(candidates: DataFrame, result: DataFrame) -> DataFrame:
-    """Candidates of a coarse filter that the search did not keep."""
-    return candidates.join(result.select("record_id"), "record_id", "left_anti").agg(F.count("*").alias("false_positives"))
-
-
-def term_counts(posted: DataFrame) -> DataFrame:
-    return posted.groupBy("field", "term").agg(F.countDistinct("record_id").alias("records"))
+def false_positives(category: DataFrame, coarse: Column, exact: Column) -> DataFrame:
+    """Records that a coarse filter takes and the exact one does not, in one pass."""
+    return category.agg(F.count_if(coarse & ~exact).alias("false_positives"))

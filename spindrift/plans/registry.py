@@ -327,12 +327,7 @@ for _name, _op, _words, _cond in (
     query(_name, f"{CTE_DOCS} SELECT record_id, lat, lon FROM docs WHERE {_cond}")(_posted)
 
 
-@query("postings_bitmaps", f"{CTE_DOCS}, {_POSTED} SELECT field, term, count(*) AS df FROM p WHERE field <> 'text' GROUP BY ALL")
-def _(spark, d):
-    return postings.document_frequency(postings.bitmaps(postings.postings(C.docs(spark, d)).filter("field <> 'text'")))
-
-
-@query("postings_bitmaps_all", f"{CTE_DOCS}, {_POSTED} SELECT field, term, count(*) AS df FROM p GROUP BY ALL")
+@query("postings_bitmaps", f"{CTE_DOCS}, {_POSTED} SELECT field, term, count(*) AS df FROM p GROUP BY ALL")
 def _(spark, d):
     return postings.document_frequency(postings.bitmaps(postings.postings(C.docs(spark, d))))
 
@@ -390,8 +385,8 @@ def _(spark, d):
 
 @query("false_positives", f"{CTE_PLAIN} SELECT count(*) AS false_positives FROM docs WHERE {MILES} > 3000 AND lat BETWEEN 10 - 40 AND 10 + 40 AND lon BETWEEN 20 - 40 AND 20 + 40")
 def _(spark, d):
-    docs = C.docs(spark, d)
-    return stats.false_positives(docs.filter(geo.in_rectangle(F.col("lat"), F.col("lon"), LAT - 40, LON - 40, LAT + 40, LON + 40)), search(docs, docs_request(f"d=3000&{_ALL}")))
+    docs, radius = C.docs(spark, d), geo.miles(LAT, LON, F.col("lat"), F.col("lon")) <= 3000
+    return stats.false_positives(docs, geo.in_rectangle(F.col("lat"), F.col("lon"), LAT - 40, LON - 40, LAT + 40, LON + 40), radius)
 
 
 _EXPLAINED = "text=the of&lang|=en es&source!=src1&n_chars>=100&text<=m&anyfield=_null&price=3&d=500&numfind=5"

@@ -14,6 +14,10 @@ from spindrift.operators.predicates import ANY_FIELD, NumberPredicate, Op, TextP
 UNLIMITED = 999_999.0
 #: The numfind that asks for every matching record.
 EVERY = "all"
+#: Seconds that a request may take unless it says otherwise.
+TIMEOUT = 15.0
+#: Names of the coordinates in number predicates, in any case.
+COORDINATES = {"latitude": "lat", "longitude": "lon"}
 OPTIONS = {"category", "x1", "y1", "x2", "y2", "d", "numfind", "timeout", "header", "discard_proximal_duplicates", "discard_approximate_locations", "_debug", "_iostats", "_xpred"}
 
 
@@ -36,6 +40,10 @@ class SearchRequest:
     discard_approximate: bool = False
     compat: bool = False
     ignored: list[str] = field(default_factory=list)
+    timeout: float | None = TIMEOUT  # None: no limit
+    header: bool = False
+    iostats: bool = False
+    explained: bool = False
 
     def effective_radius(self) -> float | None:
         """Miles; in compat mode a window is also cut by the circle to its north-east corner."""
@@ -97,7 +105,8 @@ def predicates(params: dict[str, list[str]], text_fields: list[str], number_fiel
                 ranges += [TextRange(base, op, text.clean_text_value(v)) for v in operands]
             else:
                 ignored.append(name)
-        elif base in number_fields:
+        elif base in number_fields or base.lower() in COORDINATES:
+            base = base if base in number_fields else COORDINATES[base.lower()]
             found = [numeric.number_value(v) for v in operands]
             if any(v == "" for v in operands):
                 raise BadRequest(f"{name} has no value")
@@ -140,7 +149,8 @@ def parse(query: str | dict, text_fields: list[str], number_fields: list[str], c
         raise BadRequest("x1, y1 and numfind are required")
     if k is not None and (k < 0 or k != int(k)):
         raise BadRequest("numfind is not a whole number")
-    value("timeout")
+    yes = lambda name: option.get(name, "").lower() in ("y", "yes", "1", "true")
+    timeout = None if yes("_debug") else value("timeout", TIMEOUT)
     window, lat, lon = None, y, x
     if "x2" in option or "y2" in option:
         x2, y2 = value("x2"), value("y2")
@@ -154,4 +164,5 @@ def parse(query: str | dict, text_fields: list[str], number_fields: list[str], c
     return SearchRequest(
         option.get("category", ""), lat, lon, None if k is None else int(k), value("d"), window, texts, numbers, ranges,
         value("discard_proximal_duplicates", 0.0), option.get("discard_approximate_locations") == "1", compat, ignored,
+        timeout, option.get("header") == "1", yes("_iostats"), yes("_xpred"),
     )
