@@ -2,7 +2,8 @@
 
 A window has CONTEXT ids that are only looked at and SPAN ids that are scored, so each id of a
 text is scored once, with CONTEXT to CONTEXT + SPAN - 1 ids before it.  Ids before the start of a
-text are masked.  An id is predicted in two parts, its high and its low digit in base DIGIT.
+text are masked.  An id is predicted in two parts, its high and its low digit in base DIGIT.  Models that
+were trained apart from the same start are averaged.
 """
 
 from __future__ import annotations
@@ -15,9 +16,12 @@ CONTEXT, SPAN = 16, 32
 WIDTH = 16
 DIGIT = 32
 WINDOW = CONTEXT + SPAN
-#: Windows that go through the model at once.
-BATCH = 256
+#: Windows that go through the model at once, and of a step in training.
+BATCH = 96
 
+#: Bounds of a logit, and of the norm of a gradient.
+_MOST, _NORM = 40, 1
+_ONES = np.ones(DIGIT, np.float32)
 _CAUSAL = (np.arange(WINDOW)[None, :] <= np.arange(CONTEXT, WINDOW)[:, None]).astype(np.float32)
 
 
@@ -42,6 +46,10 @@ def windows(ids: np.ndarray, at: np.ndarray, start: int) -> tuple[np.ndarray, np
     return out, first, scored
 
 
+def _ones(n: int) -> np.ndarray:
+    return np.ones(n, np.float32)
+
+
 @dataclass
 class Attention:
     p: dict[str, np.ndarray]
@@ -70,90 +78,123 @@ class Attention:
         h = (eq + (z.reshape(-1, WIDTH) @ p["o"]).reshape(eq.shape)).reshape(-1, WIDTH)
         return e, eq, k, v, q, s, u, z, h
 
-    @staticmethod
-    def _groups(hi: np.ndarray):
-        """Each high digit with the places that have it."""
-        order = np.argsort(hi, kind="stable")
+    def _digits(self, h: np.ndarray, y: np.ndarray):
+        """exp of the logits of the high and of the low digit and their sums, for places in the order of their high digit.
+
+        Each high digit has weights of its own for the low one, so places that share it lie next to each other.
+        """
+        hi = y // DIGIT
+        order = np.argsort(hi.astype(np.uint8), kind="stable")
         at = np.searchsorted(hi[order], np.arange(DIGIT + 1))
-        return ((k, order[at[k] : at[k + 1]]) for k in range(DIGIT) if at[k + 1] > at[k])
-
-    def _low(self, h: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Logits of the low digit, given the high one: each has weights of its own."""
-        out = np.empty((len(h), DIGIT), np.float32)
-        for k, i in self._groups(hi):
-            out[i] = h[i] @ self.p["b"][k] + self.p["t"][k]
-        return out
-
-    def log10(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """log10 probabilities of the ids y (n, SPAN) at the scored places of windows x."""
-        out = np.empty(y.size, np.float32)
+        hs = h[order]
+        la, lb = hs @ self.p["a"], np.empty((len(y), DIGIT), np.float32)
+        la += self.p["ba"]
+        for k in range(DIGIT):
+            if at[k + 1] > at[k]:
+                np.matmul(hs[at[k] : at[k + 1]], self.p["b"][k], out=lb[at[k] : at[k + 1]])
+                lb[at[k] : at[k + 1]] += self.p["t"][k]
+        n, ys = np.arange(len(y)), y[order]
+        for logits in (la, lb):  # exp() can't overflow
+            np.clip(logits, -_MOST, _MOST, out=logits)
+        won = la[n, ys // DIGIT] + lb[n, ys % DIGIT]
+        np.exp(la, out=la)
+        np.exp(lb, out=lb)
+        return order, at, hs, ys, la, lb, la @ _ONES, lb @ _ONES, won
+
+    def log10(self, x: np.ndarray, y: np.ndarray, starts: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probabilities at the scored places of windows x: of the ids y (n, SPAN), and of any id whose high digit is starts or more."""
+        out, begins = np.empty(y.size, np.float32), np.empty(y.size, np.float32)
         for i in range(0, len(x), BATCH):
             h = self._forward(x[i : i + BATCH])[-1]
-            t = y[i : i + BATCH].ravel()
-            hi, lo, n = t // DIGIT, t % DIGIT, np.arange(len(t))
-            la = h @ self.p["a"]
-            la += self.p["ba"]
-            lb = self._low(h, hi)
-            out[i * SPAN : i * SPAN + len(t)] = la[n, hi] + lb[n, lo] - np.log(np.exp(la, out=la).sum(axis=1) * np.exp(lb, out=lb).sum(axis=1))
-        return (out / np.float32(np.log(10))).reshape(y.shape)
+            order, _, _, _, la, _, sa, sb, won = self._digits(h, y[i : i + BATCH].ravel())
+            to = order + i * SPAN
+            out[to] = won - np.log(sa * sb)
+            begins[to] = np.log(la[:, starts:] @ _ONES[starts:] / sa)
+        scale = np.float32(1 / np.log(10))
+        return (out * scale).reshape(y.shape), (begins * scale).reshape(y.shape)
 
     def gradient(self, x: np.ndarray, y: np.ndarray, good: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss in nats over the good places, and its gradient."""
         p, g = self.p, {}
         e, eq, k, v, q, s, u, z, h = self._forward(x)
-        a = s / u[..., WIDTH:] * (x >= 0)[:, None, :]
-        t, m = y.ravel(), good.ravel().astype(np.float32)
+        m = good.ravel().astype(np.float32)
         m /= max(1.0, m.sum())
-        hi, lo, n = t // DIGIT, t % DIGIT, np.arange(len(t))
-        la, lb = h @ p["a"] + p["ba"], self._low(h, hi)
-        la, lb = (l - np.log(np.exp(l).sum(axis=1, keepdims=True)) for l in (la, lb))
-        loss = -float(((la[n, hi] + lb[n, lo]) * m).sum())
-        da, db = np.exp(la), np.exp(lb)
-        da[n, hi] -= 1
-        db[n, lo] -= 1
-        da *= m[:, None]
-        db *= m[:, None]
-        g["a"], g["ba"] = h.T @ da, da.sum(axis=0)
+        order, at, hs, ys, da, db, sa, sb, won = self._digits(h, y.ravel())
+        ms, n = m[order], np.arange(len(order))
+        loss = float(((np.log(sa * sb) - won) * ms).sum())
+        da *= (ms / sa)[:, None]
+        db *= (ms / sb)[:, None]
+        da[n, ys // DIGIT] -= ms
+        db[n, ys % DIGIT] -= ms
+        g["a"], g["ba"] = hs.T @ da, _ones(len(da)) @ da
         g["b"], g["t"] = np.zeros_like(p["b"]), np.zeros_like(p["t"])
-        dh = da @ p["a"].T
-        for c, i in self._groups(hi):
-            g["b"][c], g["t"][c] = h[i].T @ db[i], db[i].sum(axis=0)
-            dh[i] += db[i] @ p["b"][c].T
+        dhs = da @ p["a"].T
+        for c in range(DIGIT):
+            lo, hi = at[c], at[c + 1]
+            if hi > lo:
+                g["b"][c], g["t"][c] = hs[lo:hi].T @ db[lo:hi], _ones(hi - lo) @ db[lo:hi]
+                dhs[lo:hi] += db[lo:hi] @ p["b"][c].T
+        dh = np.empty_like(dhs)
+        dh[order] = dhs
         g["o"] = z.reshape(-1, WIDTH).T @ dh
+        # With z = u / w, w the sum of weights: what the weights and the values get.
+        du = np.empty_like(u)
         dz = (dh @ p["o"].T).reshape(z.shape)
-        dv = a.transpose(0, 2, 1) @ dz
-        das = dz @ v[..., :WIDTH].transpose(0, 2, 1)
-        ds = a * (das - (das * a).sum(axis=2, keepdims=True))
+        du[..., :WIDTH] = dz / u[..., WIDTH:]
+        du[..., WIDTH] = -np.einsum("bqd,bqd->bq", du[..., :WIDTH], z)
+        dv = (s.transpose(0, 2, 1) @ du)[..., :WIDTH]
+        ds = du @ v.transpose(0, 2, 1)
+        ds *= s
         dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
         scale = np.float32(1 / np.sqrt(WIDTH))
-        flat, fq = e.reshape(-1, WIDTH), eq.reshape(-1, WIDTH)
-        g["q"] = fq.T @ dq.reshape(-1, WIDTH) * scale
-        g["k"], g["v"] = flat.T @ dk.reshape(-1, WIDTH), flat.T @ dv.reshape(-1, WIDTH)
-        de = dk @ p["k"].T + dv @ p["v"].T
-        de[:, CONTEXT:] += dq @ p["q"].T * scale + dh.reshape(eq.shape)
+        dv = dv * (x >= 0)[..., None]
+        flat, fq, fdq, fdk, fdv = (w.reshape(-1, WIDTH) for w in (e, eq, dq, dk, dv))
+        g["q"] = fq.T @ fdq * scale
+        g["k"], g["v"] = flat.T @ fdk, flat.T @ fdv
+        de = (fdk @ p["k"].T + fdv @ p["v"].T).reshape(e.shape)
+        de[:, CONTEXT:] += (fdq @ (p["q"].T * scale) + dh).reshape(eq.shape)
         g["pos"] = de.sum(axis=0)
-        g["e"] = np.zeros_like(p["e"])
-        np.add.at(g["e"], np.maximum(x, 0).ravel(), de.reshape(-1, WIDTH) * (x >= 0).reshape(-1, 1))
+        ids = np.where(x >= 0, x, len(p["e"])).ravel()
+        flat = de.reshape(-1, WIDTH)
+        g["e"] = np.stack([np.bincount(ids, flat[:, d], len(p["e"]) + 1)[:-1] for d in range(WIDTH)], axis=1).astype(np.float32)
         return loss, g
 
-    def train(self, x: np.ndarray, y: np.ndarray, good: np.ndarray, steps: int, batch: int = 64, rate: float = 0.02, seed: int = 1) -> list[float]:
-        """Adam with a falling rate over random windows; gives the losses."""
-        r, losses = np.random.default_rng(seed), []
-        m = {n: np.zeros_like(w) for n, w in self.p.items()}
-        v = {n: np.zeros_like(w) for n, w in self.p.items()}
-        for step in range(1, steps + 1 if len(x) else 1):
-            i = r.integers(0, len(x), batch)
-            loss, g = self.gradient(x[i], y[i], good[i])
-            losses.append(loss)
-            lr = rate * (1 - step / (steps + 1))
-            for n, w in self.p.items():
-                m[n] += 0.1 * (g[n] - m[n])
-                v[n] += 0.01 * (g[n] ** 2 - v[n])
-                w -= (lr * (m[n] / (1 - 0.9**step)) / (np.sqrt(v[n] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+    def train(self, x: np.ndarray, y: np.ndarray, good: np.ndarray, adam: Adam) -> None:
+        """A step for every BATCH of the windows, in random order."""
+        order = adam.random.permutation(len(x))
+        for k in range(0, len(x), BATCH):
+            i = order[k : k + BATCH]
+            adam.step(self.p, self.gradient(x[i], y[i], good[i])[1])
             # Scores stay where exp() can't overflow.
             top = np.abs(self.p["e"]).max() + np.abs(self.p["pos"]).max()
             reach = top * top * np.linalg.norm(self.p["q"], 2) * np.linalg.norm(self.p["k"], 2) * np.sqrt(WIDTH)
             if reach > 80:
                 self.p["q"] *= np.float32(np.sqrt(80 / reach))
                 self.p["k"] *= np.float32(np.sqrt(80 / reach))
-        return losses
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([w.ravel() for w in self.p.values()])
+
+    def filled(self, flat: np.ndarray) -> Attention:
+        """A model of this one's shape with other parameters."""
+        at = np.cumsum([0, *(w.size for w in self.p.values())])
+        return Attention({n: flat[a:b].astype(np.float32).reshape(w.shape) for (n, w), a, b in zip(self.p.items(), at, at[1:])})
+
+
+class Adam:
+    def __init__(self, rate: float, seed: int):
+        self.rate, self.n, self.random = rate, 0, np.random.default_rng(seed)
+        self.m: dict[str, np.ndarray] = {}
+        self.v: dict[str, np.ndarray] = {}
+
+    def step(self, p: dict[str, np.ndarray], g: dict[str, np.ndarray]) -> None:
+        self.n += 1
+        norm = np.sqrt(sum(float(np.vdot(w, w)) for w in g.values()))
+        if norm > _NORM:
+            g = {n: w * np.float32(_NORM / norm) for n, w in g.items()}
+        lr = np.float32(self.rate * np.sqrt(1 - 0.995**self.n) / (1 - 0.9**self.n))
+        for n, w in p.items():
+            m, v = self.m.setdefault(n, np.zeros_like(w)), self.v.setdefault(n, np.zeros_like(w))
+            m += np.float32(0.1) * (g[n] - m)
+            v += np.float32(0.005) * (g[n] * g[n] - v)
+            w -= lr * m / (np.sqrt(v) + np.float32(1e-8))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import threading
 import uuid
@@ -21,10 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; a folder of our own only where it names none."""
+    """The shared folder that the session names in spark.checkpoint.dir; a local one only in a session without other machines."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     found = spark.sparkContext.getCheckpointDir()
     if named is None and found is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='spindrift-')}"
         _drop_at_exit(spark, named)
     if found is None:
@@ -48,10 +51,11 @@ def _drop_at_exit(spark: SparkSession, path: str) -> None:
 
 
 class _Made(threading.local):
-    """A thread's paths in the shared folder that are in use, in the order they were made."""
+    """A thread's paths in the shared folder that are in use, in the order they were made; each thread's run has its own."""
 
     def __init__(self):
         self.paths: list[str] = []
+        self.last: list[str] = []  # those of the stage before
 
 
 made = _Made()
@@ -136,7 +140,9 @@ def least_hashed(df: DataFrame, columns: list[str], n: int) -> DataFrame:
     """
     total, h = df.count(), F.xxhash64(*columns)
     if total > 8 * n:
-        df = df.filter(h < int(4 * n / total * 2**64) - 2**63)
+        few = df.filter(h < int(4 * n / total * 2**64) - 2**63)
+        if few.limit(n).count() == n:  # or else many rows are copies of a few
+            df = few
     return df.orderBy(h, *columns).limit(n)
 
 
@@ -144,6 +150,15 @@ def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def fragments(df: DataFrame, each: int) -> int:
+    """How many groups to deal df's texts to: as many as shuffle partitions, or more, so that none has more than about so many bytes."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    if size >= 1 << 60:  # the plan does not know
+        size = df.agg(F.coalesce(F.sum(sum(F.coalesce(F.octet_length(quoted([f.name])[0]), F.lit(0)) for f in df.schema if isinstance(f.dataType, T.StringType))), F.lit(0))).first()[0]
+    # Files are compressed, and a plan does not know how long its texts are among other columns.
+    return max(parts(df.sparkSession), 4 * int(size) // each + 1)
+
+
 def remainder(column: str, m: int):
     """crc32 of the number as text, modulo m."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(m))

@@ -17,8 +17,9 @@ on separately, and what they count is summed per document or per pair.
 4. Counting.  For each pair, fragments count common n-grams; the sums decide exactly.
 
 Copies of a set are one class throughout.  Documents without words have no n-grams and link
-with nothing; null texts are empty.  Repeated rows are copies.  A null doc_id is no candidate for
-a component's id.  Hashes of 64 bits stand for n-grams.
+with nothing; null texts are empty, an empty table has no rows.  Repeated rows are copies.  A null
+doc_id is no candidate for a component's id.  Texts count whole, however long.  Other columns are not
+read, whatever their names.  Hashes of 64 bits stand for n-grams.
 """
 
 from __future__ import annotations
@@ -32,12 +33,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm import bytewords as bw
-from spindrift.llm.common import bounded_batches, drop, parts, shared_dir, table, written
+from spindrift.llm.common import bounded_batches, drop, shared_dir, table, written
+from spindrift.llm.common import fragments as fragments_of
 from spindrift.llm.graph import components
 
 WORDS = 5
 #: A link: DEN * intersection >= NUM * union.
 NUM, DEN = 75, 100
+#: Bytes of text for each fragment, about.
+FRAGMENT_BYTES = 128 << 20
 #: The part of the order that the screen looks at.
 SCREEN = 0.4
 #: Fragments in which pairs are counted, and members of a pivot that one task takes.
@@ -187,9 +191,9 @@ def _packed(texts: DataFrame, fragments: int) -> DataFrame:
 
 
 def _coded(t: pa.Table) -> pa.Table:
-    """Document frequencies, 255 at most, of each segment's values in their order."""
+    """Codes of the document frequencies of each segment's values in their order: up to 16 as they are, above that eight to an octave."""
     _, df, at = _frequencies(t, "<u8")
-    code = np.minimum(df, 255).astype(np.uint8)
+    code = np.where(df <= 16, df, 16 + (8 * np.log2(df / 16)).astype(np.int64)).clip(max=255).astype(np.uint8)
     return pa.table({"batch": t.column("batch"), "fragment": t.column("fragment"), "cs": pa.nulls(len(t), pa.binary()), "counts": t.column("counts"), "grams": pa.array([code[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())})
 
 
@@ -386,7 +390,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     shared_dir(spark)
     bounded_batches(spark)
-    fragments = parts(spark)
+    fragments = fragments_of(documents, FRAGMENT_BYTES)
     scan = written(_scan(documents, fragments), "scan")
     survivors = written(_survivors(scan), "survivors")
     classes = survivors.groupBy("n", "s0", "s1").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("least"))

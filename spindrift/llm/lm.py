@@ -1,23 +1,36 @@
 """LM scoring: a causal self-attention model on subword ids, mixed with the corpus's word counts.
 
-A text is its words, in lower case A-Z, and one end.  Two models learn from the documents that are
-not held out.  Word counts cover all of them.  The attention model (attention.py) sees words as
-subword ids, the first merges of a public byte-level BPE, and is trained on windows of a sample of
-SAMPLE documents, at most WINDOWS of each.  A word's probability is the mean, weighted by MIX, of
-the two: its count's share, and the product of its subwords' conditional probabilities given up to
-CONTEXT + SPAN - 1 ids before.  Every id is scored once.
-
-Documents are dealt to buckets by hash.  A bucket sends each of its distinct words' hashes once, with
-the bucket's own count, to the fragment of the hash; the fragment adds up, and the totals go back.
-So a frequent word costs a number for each bucket, and no table of all words is ever in one place.
-
-Null texts are empty: an end alone.  Repeated rows count again.  A null doc_id is not held out.
-Words are told apart by 64-bit hashes.
+A text is its words, in lower case A-Z, and one end.  Two models learn from all documents that are not
+held out.  Word counts are one.  The attention model (attention.py) is the other: it sees words as
+subword ids, the first merges of a public byte-level BPE, and every id of every text that teaches is
+scored once in training.  Training goes over the data in ROUNDS: in each, every task begins with the
+same model and takes a step for each batch of windows of its part of the texts, and the models that the
+tasks end with are averaged by the ids they saw.  So the work is in proportion to the data, at every
+size, and no task waits for another within a round.  Texts of less than LEAST_BYTES together are gone
+over several times.
+
+Ids that begin a word (and the end) have high digits of their own, so the chance that a word ends at a
+place is read off with the model's first digit.  Given the words before it, a word has as its chance the
+product of its subwords' chances, given that a word begins, times the chance that it ends there; these
+add up to one over all words.  The score mixes it, with weight 1 - MIX, with the word's share of all
+tokens that teach, which also adds up to one; a word that was never seen has the attention model's share
+alone.  Every id is scored once, given CONTEXT to CONTEXT + SPAN - 1 ids before it.
+
+Documents are dealt to buckets by hash, about BUCKET_BYTES of text in each.  A bucket sends each of its
+distinct words' hashes once, with the bucket's own count, to the fragment of the hash; the fragment adds
+up, and the totals go back.  So a frequent word costs a number for each bucket, and no table of all words
+is ever in one place.
+
+Null texts are empty: an end alone.  Repeated rows count again, and get equal scores.  A null doc_id is
+not held out.  Texts are scored whole, however long, and an empty table has no scores.  Other columns are
+not read, whatever their names.  Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,18 +39,24 @@ from pyspark.sql import functions as F
 
 from spindrift.llm import bytewords as bw
 from spindrift.llm import subwords
-from spindrift.llm.attention import CONTEXT, DIGIT, SPAN, Attention, windows
-from spindrift.llm.common import bounded_batches, least_hashed, parts, remainder, shared_dir, table, written
+from spindrift.llm.attention import DIGIT, SPAN, Adam, Attention, windows
+from spindrift.llm.common import bounded_batches, parts, remainder, shared_dir, table, written
 
 #: crc32(doc_id as text) modulo FOLDS; HELD_OUT teaches nothing.
 FOLDS, HELD_OUT = 7, 2
-#: Documents that the attention model is trained on, windows of each at most, and steps.
-SAMPLE, WINDOWS, STEPS = 2000, 48, 2000
+#: Training is dealt to SLICES by hash; each round has some of them, and a rate.
+SLICES = 16
+ROUNDS = ((range(0, 1), 0.02), (range(1, 4), 0.01), (range(4, 10), 0.005), (range(10, 14), 0.002), (range(14, 16), 0.0007))
+#: Bytes of text that training goes over at least, if there is any; passes over one text at most.
+LEAST_BYTES, PASSES = 32 << 20, 64
+#: Bytes of text that windows are made of and shuffled at once.
+SHUFFLED = 2 << 20
 #: Share of the word counts in a word's probability.
-MIX = 0.5
-#: Ids: so many ranks of the vocabulary, and the end.
+MIX = 0.25
+#: Bytes of text of a bucket.
+BUCKET_BYTES = 32 << 20
+#: Ids.
 IDS = DIGIT * DIGIT
-END = IDS - 1
 #: Windows that are scored at once.
 SCORED = 1024
 
@@ -58,16 +77,34 @@ def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
     return out.astype(np.uint8).tobytes()
 
 
-_first_bytes: dict[str, np.ndarray] = {}
+@dataclass
+class Ids:
+    """The ids of a vocabulary: ranks that go on a word, then, from a high digit of their own, those that begin one, and the end."""
 
+    path: str
+    ranks: int
+    of_rank: np.ndarray
+    begins: np.ndarray  # by rank
+    starts: int  # the first high digit of those that begin a word
+    end: int
 
-def word_ids(text: bytes, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of words, each with a space before it, and offsets of the words."""
-    if path not in _first_bytes:
-        e = subwords.encoder(path, END)
-        _first_bytes[path] = np.array([e.decode_single_token_bytes(k)[0] == 0x20 for k in range(END)])
-    ids = subwords.encode(text.decode(), path, END).astype(np.int32)
-    return ids, np.append(np.flatnonzero(_first_bytes[path][ids]) if len(ids) else np.zeros(0, np.int64), len(ids))
+    def words(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, each with a space before it, and offsets of the words."""
+        ranks = subwords.encode(text.decode(), self.path, self.ranks).astype(np.int64)
+        return self.of_rank[ranks], np.append(np.flatnonzero(self.begins[ranks]), len(ranks)).astype(np.int64)
+
+
+@functools.lru_cache(maxsize=4)
+def ids_of(path: str) -> Ids:
+    """As many of the first ranks as there are ids for."""
+    e = subwords.encoder(path, IDS - 1)
+    begins = np.array([e.decode_single_token_bytes(k)[0] == 0x20 for k in range(IDS - 1)])
+    digits = lambda n: -(-n // DIGIT)
+    ranks = next(r for r in range(IDS - 1, 0, -1) if digits(int((~begins[:r]).sum())) + digits(int(begins[:r].sum()) + 1) <= DIGIT)
+    begins = begins[:ranks]
+    starts = digits(int((~begins).sum()))
+    of_rank = np.where(begins, starts * DIGIT + np.cumsum(begins) - 1, np.cumsum(~begins) - 1).astype(np.int32)
+    return Ids(path, ranks, of_rank, begins, starts, starts * DIGIT + int(begins.sum()))
 
 
 def _ragged(ids: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,35 +119,95 @@ def _with_ends(words: np.ndarray, first: np.ndarray, end: int) -> tuple[np.ndarr
     return np.insert(words, first[1:], end), first + np.arange(len(first))
 
 
-def fit(documents: DataFrame, path: str, sample: int = SAMPLE, steps: int = STEPS) -> Attention:
-    """The attention model of a sample: the documents not held out with the least hashes of text and id."""
-    d = least_hashed(documents.filter("NOT held").select("doc_id", "text"), ["doc_id", "text"], sample).select("text")
+@dataclass
+class Vocabulary:
+    """The distinct words of some chunks, each encoded once."""
+
+    unique: np.ndarray  # hashes
+    which: np.ndarray  # of each word of the chunks, one chunk after another
+    ids: np.ndarray
+    at: np.ndarray
+    number: np.ndarray  # of each hash in ids and at; the end's is the last
+
+    @classmethod
+    def of(cls, chunked: list, vocabulary: Ids) -> Vocabulary:
+        unique, which = np.unique(np.concatenate([np.zeros(0, np.uint64), *(c[-1] for c in chunked)]), return_inverse=True)
+        seen, used, texts, order = np.zeros(len(unique), bool), 0, [], [np.zeros(0, np.int64)]
+        for _, _, data, starts, ends, _, h in chunked:
+            own = which[used : used + len(h)]
+            used += len(h)
+            word, place = np.unique(own, return_index=True)
+            new = ~seen[word]
+            seen[word] = True
+            order.append(word[new])
+            texts.append(_joined(data, starts[place[new]], ends[place[new]]))
+        ids, at = vocabulary.words(b"".join(texts))
+        number = np.empty(len(unique) + 1, np.int64)
+        number[np.concatenate(order)] = np.arange(len(unique))
+        number[-1] = len(unique)
+        return cls(unique, which, np.append(ids, np.int32(vocabulary.end)), np.append(at, len(ids) + 1), number)
+
+
+def _averaged(t: pa.Table) -> pa.Table:
+    n = np.asarray(t.column("n").combine_chunks()).astype(np.float64)
+    p = sum(k * np.frombuffer(x.as_buffer(), "<f4").astype(np.float64) for k, x in zip(n, t.column("p"))) / n.sum()
+    return pa.table({"task": t.column("task").slice(0, 1), "n": pa.array([int(n.sum())]), "p": pa.array([p.astype("<f4").tobytes()], pa.binary())})
+
+
+def trained(texts: DataFrame, vocabulary: Ids, model: Attention, rate: float, passes: int = 1) -> tuple[int, Attention]:
+    """How many ids the texts have, and the average of the models that the tasks make of model."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, seen, adam = None, 0, None
+
+        def learn(chunked: list) -> None:
+            nonlocal own, seen, adam
+            words = Vocabulary.of(chunked, vocabulary)
+            adam = adam or Adam(rate, int(words.unique[0] >> np.uint64(32)) if len(words.unique) else 0)
+            own, used, xs, ys = own or shared.value.filled(shared.value.flat()), 0, [], []
+            for _, _, _, _, _, first, h in chunked:
+                tokens, docs_at = _with_ends(words.which[used : used + len(h)], first, len(words.unique))
+                used += len(h)
+                stream, word_at = _ragged(words.ids, words.at, words.number[tokens])
+                x, place, n = windows(stream, word_at[docs_at], vocabulary.end)
+                y = stream[np.minimum(place[:, None] + np.arange(SPAN), len(stream) - 1)]
+                y[np.arange(SPAN)[None, :] >= n[:, None]] = -1
+                xs.append(x)
+                ys.append(y)
+            x, y = np.concatenate(xs), np.concatenate(ys)
+            seen += int((y >= 0).sum())
+            for _ in range(passes):
+                own.train(x, np.maximum(y, 0), y >= 0, adam)
+
+        left, size = [], 0
         for batch in batches:
-            xs, ys = [], []
-            for _, _, data, starts, ends, first, _ in _words(batch.column(0)):
-                ids, at = word_ids(_joined(data, starts, ends), path)
-                words, docs = _with_ends(np.arange(len(starts)), first, len(starts))
-                ids, at = _ragged(np.append(ids, END), np.append(at, len(ids) + 1), words)
-                x, place, scored = windows(ids, at[docs], END)
-                y = ids[np.minimum(place[:, None] + np.arange(SPAN), len(ids) - 1)]
-                y[np.arange(SPAN)[None, :] >= scored[:, None]] = -1
-                doc = np.searchsorted(at[docs], place, side="right") - 1
-                nth = np.arange(len(doc)) - np.searchsorted(doc, doc)
-                step = np.maximum(1, -(-np.bincount(doc, minlength=len(docs)) // WINDOWS))
-                keep = nth % step[doc] == 0
-                xs.append(x[keep])
-                ys.append(y[keep])
-            if xs:
-                x, y = np.concatenate(xs), np.concatenate(ys)
-                yield pa.RecordBatch.from_arrays([pa.array([r.astype("<i4").tobytes() for r in m], pa.binary()) for m in (x, y)], names=["x", "y"])
-
-    rows = sorted((bytes(r.x), bytes(r.y)) for r in d.mapInArrow(run, "x binary, y binary").collect())
-    model = Attention.new()
-    if rows:
-        x, y = (np.array([np.frombuffer(r[k], "<i4") for r in rows]) for k in range(2))
-        model.train(x, np.maximum(y, 0), y >= 0, steps)
+            for chunk in _words(batch.column(0)):
+                left.append(chunk)
+                size += len(chunk[2])
+                if size >= SHUFFLED:
+                    learn(left)
+                    left, size = [], 0
+        if left:
+            learn(left)
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([own.flat().astype("<f4").tobytes()], pa.binary())], names=["n", "p"])
+
+    made = texts.select("text").mapInArrow(run, "n long, p binary")
+    # Averaged in two steps, so that no group grows with the number of tasks.
+    made = made.withColumn("task", F.pmod(F.xxhash64("p"), F.lit(64)).cast("int")).groupBy("task").applyInArrow(_averaged, "task int, n long, p binary")
+    got = made.withColumn("task", F.lit(0)).groupBy("task").applyInArrow(_averaged, "task int, n long, p binary").collect()
+    shared.destroy()
+    return (got[0].n, model.filled(np.frombuffer(bytes(got[0].p), "<f4"))) if got else (0, model)
+
+
+def fit(documents: DataFrame, path: str, size: int, rounds=ROUNDS) -> Attention:
+    """The attention model of all documents that are not held out.  size: bytes of all texts."""
+    vocabulary, model = ids_of(path), Attention.new()
+    d = documents.filter("NOT held").select("text", F.pmod(F.xxhash64("doc_id", "text", F.lit("slice")), F.lit(SLICES)).alias("slice"))
+    passes = int(np.clip(LEAST_BYTES // max(1, size), 1, PASSES))
+    for slices, rate in rounds:
+        _, model = trained(d.filter(F.col("slice").between(slices[0], slices[-1])), vocabulary, model, rate, passes)
     return model
 
 
@@ -155,7 +252,27 @@ def _totals(t: pa.Table) -> pa.Table:
     )
 
 
-def scored(documents: DataFrame, held, path: str | None = None, sample: int = SAMPLE, steps: int = STEPS) -> DataFrame:
+def log_words(model: Attention, vocabulary: Ids, stream: np.ndarray, word_at: np.ndarray, docs_at: np.ndarray) -> np.ndarray:
+    """log10 of the chance of each word, given those before it.
+
+    stream: ids; word_at: offsets of the words, of which each document's last one is its end; docs_at: offsets of the documents, in words.
+    """
+    x, place, n = windows(stream, word_at[docs_at], vocabulary.end)
+    logs, begins, steps = np.empty(len(stream)), np.empty(len(stream)), np.arange(SPAN)
+    for k in range(0, len(x), SCORED):
+        at = place[k : k + SCORED, None] + steps
+        good = steps[None, :] < n[k : k + SCORED, None]
+        p, b = model.log10(x[k : k + SCORED], stream[np.minimum(at, len(stream) - 1)], vocabulary.starts)
+        logs[at[good]], begins[at[good]] = p[good], b[good]
+    # What begins a word is given that one begins; that it ends is that the next one begins.
+    out = np.add.reduceat(logs, word_at[:-1]) - begins[word_at[:-1]]
+    inner = np.ones(len(out), bool)
+    inner[docs_at[1:] - 1] = False
+    out[inner] += begins[word_at[1:-1][inner[:-1]]]
+    return out
+
+
+def scored(documents: DataFrame, held, path: str | None = None, rounds=ROUNDS) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     held: a boolean Column; documents where it is true teach nothing.
@@ -163,66 +280,49 @@ def scored(documents: DataFrame, held, path: str | None = None, sample: int = SA
     spark = documents.sparkSession
     shared_dir(spark)
     bounded_batches(spark)
-    path, fragments = path or subwords.default_path(), parts(spark)
+    path = path or subwords.default_path()
+    vocabulary = ids_of(path)
     d = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(held, F.lit(False)).alias("held"))
-    model = spark.sparkContext.broadcast(fit(d, path, sample, steps))
+    size, ends = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if(~F.col("held"))).first()
+    model = spark.sparkContext.broadcast(fit(d, path, size, rounds))
+    fragments = max(parts(spark), int(size) // BUCKET_BYTES + 1)
     d = d.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(fragments)).cast("int"))
     words = d.select("bucket", "held", "text").groupBy("bucket").applyInArrow(_dictionary(fragments), "bucket int, fragment int, words binary, counts binary")
     totals = written(words.groupBy("fragment").applyInArrow(_totals, "bucket int, fragment int, totals binary, tokens long, distinct long"), "counts")
-    ends = d.filter("NOT held").count()
     n, v = totals.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     n, v = int(n) + ends, int(v) + (ends > 0)
 
     def run(docs: pa.Table, back: pa.Table) -> pa.Table:
-        rows, low = len(docs), np.log10(n + v + 1)
+        rows = len(docs)
         if not rows:
             return pa.table({k: pa.array([], t) for k, t in zip(names, (kind, pa.bool_(), *[pa.int64()] * 2, *[pa.float64()] * 2))})
         back = back.sort_by("fragment")
         totals = np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(x.as_buffer(), "<u8") for x in back.column("totals"))]).astype(np.float64)
         chunked = list(_words(docs.column("text")))
-        unique, which = np.unique(np.concatenate([c[-1] for c in chunked]), return_inverse=True)
-        # Each distinct word once, as ids.
-        seen, ids_at, texts, order = np.zeros(len(unique), bool), 0, [], []
-        for _, _, data, starts, ends_, _, h in chunked:
-            own = which[ids_at : ids_at + len(h)]
-            ids_at += len(h)
-            word, place = np.unique(own, return_index=True)
-            new = ~seen[word]
-            seen[word] = True
-            order.append(word[new])
-            texts.append(_joined(data, starts[place[new]], ends_[place[new]]))
-        ids, at = word_ids(b"".join(texts), path)
-        number = np.empty(len(unique), np.int64)
-        number[np.concatenate(order)] = np.arange(len(unique))
+        words = Vocabulary.of(chunked, vocabulary)
         count = np.append(totals, ends)  # by hash; the end comes last
-        ids, at = np.append(ids, END), np.append(at, len(ids) + 1)
-        number = np.append(number, len(unique))
-        log_base = np.log10(count + 1) - low
+        log_base = np.log10(count + 1) - np.log10(n + v + 1)
+        share = MIX * count / max(1, n)
         base, score = np.empty(rows), np.empty(rows)
         tokens, known = np.empty(rows, np.int64), np.empty(rows, np.int64)
         used = 0
         for a, b, _, _, _, first, h in chunked:
-            own, docs_at = _with_ends(which[used : used + len(h)], first, len(unique))
+            own, docs_at = _with_ends(words.which[used : used + len(h)], first, len(words.unique))
             used += len(h)
             tokens[a:b] = np.diff(docs_at)
             known[a:b] = np.add.reduceat((count[own] > 0).astype(np.int64), docs_at[:-1])
             base[a:b] = np.add.reduceat(log_base[own], docs_at[:-1])
-            stream, word_at = _ragged(ids, at, number[own])
-            x, place, scored_ = windows(stream, word_at[docs_at], END)
-            logs = np.empty(len(stream))
-            for k in range(0, len(x), SCORED):
-                y = stream[np.minimum(place[k : k + SCORED, None] + np.arange(SPAN), len(stream) - 1)]
-                good = np.arange(SPAN)[None, :] < scored_[k : k + SCORED, None]
-                logs[(place[k : k + SCORED, None] + np.arange(SPAN))[good]] = model.value.log10(x[k : k + SCORED], y)[good]
-            word = np.add.reduceat(logs, word_at[:-1])
-            hi = np.maximum(word, log_base[own])
-            both = hi + np.log10(MIX * 10.0 ** (log_base[own] - hi) + (1 - MIX) * 10.0 ** (word - hi))
+            stream, word_at = _ragged(words.ids, words.at, words.number[own])
+            log = log_words(model.value, vocabulary, stream, word_at, docs_at) + np.log10(1 - MIX)
+            # A long word's chance may be too small for a number that is no logarithm.
+            with np.errstate(divide="ignore", under="ignore"):
+                both = np.where(share[own] > 0, np.logaddexp(np.log(share[own]), log * np.log(10)) / np.log(10), log)
             score[a:b] = np.add.reduceat(both, docs_at[:-1])
         return pa.table([docs.column("doc_id").combine_chunks(), docs.column("held").combine_chunks(), *map(pa.array, (tokens, known, base, score))], names=names)
 
     names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
     id_type = documents.schema["doc_id"].dataType.simpleString()
-    kind = pa.int32() if id_type == "int" else pa.int64()
+    kind = {"int": pa.int32(), "string": pa.string()}.get(id_type, pa.int64())
     both = d.groupBy("bucket").cogroup(totals.filter("bucket IS NOT NULL").select("bucket", "fragment", "totals").groupBy("bucket"))
     out = both.applyInArrow(run, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -12,7 +12,9 @@ Each partition packs its own rows, with a bounded pool of examples; there is no
 no state besides.  A sequence id holds the partition and a count, so a task that runs again
 on the same rows gives the same ids.
 
-Null texts are empty.  An empty text is one end token.  Repeated rows each get pieces.
+Null texts are empty.  An empty text is one end token.  Repeated rows each get pieces, examples of equal
+product go in the order they came.  Texts are packed whole, in as many pieces as it takes; an empty table
+gives none.  Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

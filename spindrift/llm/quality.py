@@ -1,10 +1,10 @@
 """Quality classifier: nearest-neighbour voting on latent-semantic vectors.
 
-A text's terms are runs of one to four character shapes (what is upper or lower case, digit,
-space, line end or which mark; a run of letters, digits or spaces counts once), plus terms for
-words that repeat the one before and for runs of five words that the text has already had.
-Terms are hashed to a fixed number of columns and weighted by inverse document frequency, and
-an SVD of the labelled sample gives the latent space.
+A text's terms are its words (letters and digits, in lower case A-Z), runs of one to four character
+shapes (what is upper or lower case, digit, space, line end or which mark; a run of letters, digits or
+spaces counts once), and two for repetition: words that repeat the one before, and runs of five words
+that the text has already had.  Words and shapes are hashed to a fixed number of columns each and
+weighted by inverse document frequency, and an SVD of the labelled sample gives the latent space.
 
 Fitting takes at most SAMPLE labelled documents, those with the smallest hashes of doc_id.  Their
 vectors are the only broadcast; its size follows from SAMPLE and the number of columns alone.
@@ -12,7 +12,8 @@ Every document is compared with all of them, block by block; the NEIGHBOURS most
 any that tie with the last) vote with their labels, weighted by similarity.
 
 An empty or null text has no direction: it gets the sample's share of label 1.  Repeated labels of
-a document are averaged, null labels are left out.  Without any labels the score is 0.5.
+a document are averaged, null labels are left out.  Without any labels the score is 0.5.  Repeated
+rows get the same score each; texts are read whole.  Columns named like a result column are replaced.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 from spindrift.llm import bytewords as bw
 from spindrift.llm.common import appended, least_hashed, remainder, shielded, table
 
-COLUMNS = 1024
-RANK = 48
+#: Columns of shapes and repetition, and of words.
+SHAPES, WORDS = 1024, 1024
+COLUMNS = SHAPES + WORDS
+RANK = 64
 #: Labelled documents that a fit takes at most.
 SAMPLE = 4000
 NEIGHBOURS = 9
@@ -51,8 +54,8 @@ _SHAPE[_marks] = np.arange(6, 6 + len(_marks))
 _RADIX = 6 + len(_marks)
 _ONCE = _LINE  # shapes up to it count once in a run
 _SPECIAL = 2
-#: Of the terms for repetition, as against one shape.
-WEIGHT = 3
+#: Of the terms for repetition, as against one shape; and of words.
+WEIGHT, WORD_WEIGHT = 3, 1
 
 
 def terms(column: pa.Array) -> np.ndarray:
@@ -66,7 +69,7 @@ def terms(column: pa.Array) -> np.ndarray:
         if len(shape):
             keep[1:] = (shape[1:] != shape[:-1]) | (shape[1:] > _ONCE) | (row[1:] != row[:-1])
         shape, row = shape[keep], row[keep]
-        counts = np.zeros(rows * COLUMNS, dtype=np.int64)
+        counts = np.zeros(rows * SHAPES, dtype=np.int64)
         gram = np.zeros(len(shape), dtype=np.int64)
         for k in range(4):
             n = len(shape) - k
@@ -74,9 +77,9 @@ def terms(column: pa.Array) -> np.ndarray:
                 break
             gram = gram[:n] * _RADIX + shape[k:]
             inside = row[:n] == row[k:]
-            place = (bw.mix((gram[inside] * 4 + k).astype(np.uint64)) % np.uint64(COLUMNS - _SPECIAL)).astype(np.int64)
-            counts += np.bincount(row[:n][inside] * COLUMNS + place, minlength=len(counts))
-        counts = counts.reshape(rows, COLUMNS)
+            place = (bw.mix((gram[inside] * 4 + k).astype(np.uint64)) % np.uint64(SHAPES - _SPECIAL)).astype(np.int64)
+            counts += np.bincount(row[:n][inside] * SHAPES + place, minlength=len(counts))
+        counts = counts.reshape(rows, SHAPES)
         low = bw.lower(data)
         starts, ends, first = bw.spans(low, at, bw.NOT_SPACE)
         words = bw.span_hashes(low, starts, ends)
@@ -88,8 +91,13 @@ def terms(column: pa.Array) -> np.ndarray:
         _, edges = bw.distinct(grams, of, rows)
         counts[:, -2] = np.bincount(of, minlength=rows) - np.diff(edges)
         size = np.maximum(np.diff(first), 1)[:, None]
-        out[a:b] = np.sqrt(counts / size)
-        out[a:b, -_SPECIAL:] *= WEIGHT
+        out[a:b, :SHAPES] = np.sqrt(counts / size)
+        out[a:b, SHAPES - _SPECIAL : SHAPES] *= WEIGHT
+        starts, ends, first = bw.spans(low, at, bw.ALNUM)
+        place = (bw.span_hashes(low, starts, ends) % np.uint64(WORDS)).astype(np.int64)
+        where = np.repeat(np.arange(rows), np.diff(first))
+        found = np.bincount(where * WORDS + place, minlength=rows * WORDS).reshape(rows, WORDS)
+        out[a:b, SHAPES:] = WORD_WEIGHT * np.sqrt(found / np.maximum(np.diff(first), 1)[:, None])
     return out
 
 

@@ -8,7 +8,8 @@ own may also be unknown at the least score less ten, and it then counts one piec
 
 The box has no unigram vocabulary; ``piece_bpe_32k.model``'s pieces and scores serve as one, without
 its control pieces.  Each distinct word of a batch is counted once.  Null and empty texts have no
-tokens; texts count whole; repeated rows each count.
+tokens; texts count whole, however long; repeated rows each count, and count the same.  A column named like
+the count's is replaced, others stay; an empty table has no counts.
 """
 
 from __future__ import annotations

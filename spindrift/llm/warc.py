@@ -6,13 +6,19 @@ record's headers first.  Pushed predicates on the record type and on headers are
 them, and a record that fails, or whose payload nobody asked for, is skipped by the length
 its gzip member states; only members that state none are inflated to find their end.
 
-Writing gives each task a file with a name of its own.  The manifest is written at commit and
-names the files of the tasks that counted, so files of lost or repeated attempts are not read.
+Writing gives each task a file with a name of its own.  Each write adds a manifest at commit that
+names the files of the tasks that counted, so files of lost or repeated attempts are not read, and
+what earlier writes left stays.
 
 Payloads equal in digest and length: the record with the largest id is the response, the
-others are revisits without payload.  Null payloads are empty, a null id is smaller than any
-other, rows with the same id and payload are all responses.  Line ends in header values are
-percent-encoded.
+others are revisits without payload.  Digests are grouped without their payloads.  Those that occur
+more than once are broadcast if they are at most BROADCAST; of more, the ones that fill a
+thousandth of all rows or more (there can't be over a thousand) are, and the rest is joined.
+
+Null payloads are empty, a null id is smaller than any other, rows with the same id and payload are
+all responses, repeated rows give a record each.  A payload is held whole by one task, however long.
+Line ends in header values are percent-encoded.  Other columns of pages are not written, whatever
+their names; an empty table gives an archive without records.
 """
 
 from __future__ import annotations
@@ -32,16 +38,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, StringStartsWith, WriterCommitMessage
 
-from spindrift.llm.common import bounded_batches, scratch, table
+from spindrift.llm.common import bounded_batches, scratch, table, written
 
 SCHEMA = "record_type string, record_id string, target_uri string, date string, refers_to string, payload_digest string, payload_bytes long, headers map<string,string>, payload binary"
 _HEADER = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "date": "warc-date", "refers_to": "warc-refers-to", "payload_digest": "warc-payload-digest"}
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-MANIFEST = "_manifest.json"
+#: Start of the manifests' names.
+MANIFEST = "_manifest"
 #: Compressed bytes of one partition of a file.
 SPLIT = 32 << 20
-#: Salts of a digest that many records share.
-SALTS = 16
+#: Digests that one broadcast has at most, of about 100 bytes each; and the share of all rows that makes a digest hot.
+BROADCAST, HOT = 200_000, 1000
 _READ = 64 << 10
 
 
@@ -116,7 +123,7 @@ class Writer(DataSourceArrowWriter):
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         fs, root = _fs(self.path)
         fs.create_dir(root, recursive=True)
-        with fs.open_output_stream(f"{root}/{MANIFEST}") as f:
+        with fs.open_output_stream(f"{root}/{MANIFEST}-{uuid.uuid4().hex}.json") as f:
             f.write(json.dumps({m.name: m.splits for m in messages if m and m.name}).encode())
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
@@ -280,9 +287,11 @@ class Reader(DataSourceReader):
         fs, root = _fs(self.path)
         if fs.get_file_info(root).type == pafs.FileType.File:
             return [Stretch(root, 0, None)]
-        if fs.get_file_info(f"{root}/{MANIFEST}").type == pafs.FileType.File:
-            with fs.open_input_stream(f"{root}/{MANIFEST}") as f:
-                files = json.loads(f.read())
+        files, manifests = {}, [x.path for x in fs.get_file_info(pafs.FileSelector(root)) if x.base_name.startswith(MANIFEST)]
+        for path in manifests:
+            with fs.open_input_stream(path) as f:
+                files |= json.loads(f.read())
+        if manifests:
             return [Stretch(f"{root}/{n}", a, b) for n, s in sorted(files.items()) for a, b in zip(s, s[1:]) if b > a]
         found = fs.get_file_info(pafs.FileSelector(root, recursive=True))
         return [Stretch(x.path, 0, None) for x in sorted(found, key=lambda x: x.path) if x.path.endswith((".warc", ".warc.gz")) and x.size]
@@ -365,10 +374,20 @@ def deduplicated(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
     """The records to write: each payload once, with the largest id; payloads under min_bytes always."""
     p = pages.select(F.col(page_id).cast("long").alias("id"), F.col(url).cast("string").alias("target_uri"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"))
     p = p.withColumns({"sha": F.sha1("payload"), "payload_bytes": F.octet_length("payload").cast("long")})
-    best = p.groupBy("sha", "payload_bytes").agg(F.max("id").alias("best"))
-    best = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnsRenamed({"sha": "b_sha", "payload_bytes": "b_bytes"})
-    p = p.withColumn("salt", F.pmod(F.xxhash64("id", "target_uri"), F.lit(SALTS)).cast("int"))
-    j = p.join(best.hint("shuffle_hash"), (p.sha == best.b_sha) & (p.payload_bytes == best.b_bytes) & (p.salt == best.salt))
+    several = p.groupBy("sha", "payload_bytes").agg(F.max("id").alias("best"), F.count("*").alias("m")).filter("m > 1")
+    several = written(several.withColumnsRenamed({"sha": "b_sha", "payload_bytes": "b_bytes"}), "digests")
+    same = (F.col("sha") == F.col("b_sha")) & (F.col("payload_bytes") == F.col("b_bytes"))
+    if several.count() <= BROADCAST:
+        j = p.join(F.broadcast(several), same, "left")
+    else:
+        hot = F.col("m") >= F.lit(max(2, -(-pages.count() // HOT)))
+        j = p.join(F.broadcast(several.filter(hot)), same, "left")
+        others = several.filter(~hot).select(F.col("b_sha").alias("o_sha"), F.col("b_bytes").alias("o_bytes"), F.col("best").alias("o_best"), F.col("m").alias("o_m"))
+        # Rows of hot digests have their answer; no key joins them with one another.
+        free = F.when(F.col("m").isNull(), F.col("sha")).otherwise(F.concat(F.lit("-"), F.xxhash64("id", "target_uri").cast("string")))
+        j = j.join(others.hint("shuffle_hash"), (free == F.col("o_sha")) & (F.col("payload_bytes") == F.col("o_bytes")), "left")
+        j = j.withColumns({"best": F.coalesce("best", "o_best"), "m": F.coalesce("m", "o_m")})
+    j = j.withColumn("best", F.when(F.col("m").isNull(), F.col("id")).otherwise(F.col("best")))
     again = ~F.col("id").eqNullSafe(F.col("best")) & (F.col("payload_bytes") >= min_bytes)
     urn = lambda c: F.concat(F.lit("urn:x-page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")))
     return j.select(

@@ -38,13 +38,60 @@ def test_query_equals_brute_force(spark, tmp_path):
         assert abs(r.near_edited - like(t, e)) < 1e-12 and abs(r.near_next - like(t, nxt)) < 1e-12
         assert (r.fingerprint == r.edited_fingerprint) == (pieces(t) == pieces(e))
     assert got[503].fingerprint == got[504].fingerprint
-    assert re.fullmatch(r"-+", got[500].fingerprint)
+        assert abs(published(r.fingerprint, r.edited_fingerprint) - r.near_edited) < 1e-12
+        assert abs(published(r.fingerprint, got[rows[(k + 1) % len(rows)][0]].fingerprint) - r.near_next) < 1e-12
+    assert re.fullmatch(r"8/-+", got[500].fingerprint)
+
+
+def published(left, right):
+    """Likeness of two published fingerprints, by their text alone."""
+
+    def digests(text):
+        out = set()
+        for block in text.split("."):
+            third, _, cells = block.partition("/")
+            cells = [(0, 0, 0) if c == "-" else tuple(int(x or "0", 16) for x in c[:-1].split(":")) for c in re.findall(r"-|[^-;]+;", cells)]
+            if int(third, 16) == 0:
+                out |= {k for _, k, _ in cells}
+                continue
+            while single := {(k, h) for c, k, h in cells if c == 1}:
+                for k, h in single:
+                    t = int(third, 16)
+                    s = h - (1 << 64) if h >> 63 else h
+                    at = {j * t + (s >> 20 * j) % t for j in range(3)}
+                    assert all(cells[i][0] > 0 for i in at)
+                    cells = [(c - 1, a ^ k, b ^ h) if i in at else (c, a, b) for i, (c, a, b) in enumerate(cells)]
+                    out.add(k)
+            assert set(cells) <= {(0, 0, 0)}
+        return out
+
+    a, b = digests(left), digests(right)
+    return 1.0 if not a | b else len(a & b) / len(a | b)
+
+
+def test_fingerprints_compare_after_publication(spark, tmp_path):
+    rows = [(k, t) for k, t in enumerate(texts())]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    d = fp.op10_fingerprint(spark, str(tmp_path))
+    d = d.withColumns({"l": F.expr(fp.decoded("fingerprint")), "r": F.expr(fp.decoded("edited_fingerprint"))})
+    for r in fp.compared(d, "l", "r", "again").collect():
+        assert abs(r.again - r.near_edited) < 1e-12
+
+
+def test_long_texts_and_few_changes(spark):
+    a = [f"line {k}" for k in range(50_000)]
+    b = [x for k, x in enumerate(a) if k not in (77, 4000)] + ["new"]
+    d = spark.createDataFrame([("\n".join(a), "\n".join(b))], "a string, b string")
+    d = d.select(*(F.expr(fp.sketch(fp.digests(c))).alias(to) for c, to in (("a", "l"), ("b", "r"))))
+    r = fp.compared(d, "l", "r", "near").select("near", "near_diff").first()
+    assert sorted(x.c for x in r.near_diff) == [-1, 1, 1]
 
 
 def test_peeling_recovers_digests_and_retries(spark):
     a, b = "\n".join(f"left {k}" for k in range(40)) + "\nboth", "both\n" + "\n".join(f"right {k}" for k in range(9))
     d = spark.createDataFrame([(a, b)], "a string, b string")
-    d = fp.compared(fp.sketched(fp.sketched(d, "a", "l"), "b", "r"), "l", "r", "near")
+    d = d.select(*(F.expr(fp.sketch(fp.digests(c))).alias(to) for c, to in (("a", "l"), ("b", "r"))))
+    d = fp.compared(d, "l", "r", "near")
     r = d.first()
     assert sorted(x.c for x in r.near_diff) == [-1] * 9 + [1] * 40
     want = {x[0] for x in spark.createDataFrame([(p,) for p in pieces(a) - pieces(b)], "p string").select(F.xxhash64("p")).collect()}
@@ -52,8 +99,8 @@ def test_peeling_recovers_digests_and_retries(spark):
 
 
 def test_repeated_ids_nulls_and_empty_tables(spark, tmp_path):
-    rows = [(1, "a"), (1, "b"), (1, "b"), (None, "c"), (None, None)]
-    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(1, "a", 1), (1, "b", 2), (1, "b", 2), (None, "c", 3), (None, None, 4)]
+    spark.createDataFrame(rows, "doc_id long, text string, fingerprint int").write.parquet(f"{tmp_path}/documents.parquet")
     assert fp.op10_fingerprint(spark, str(tmp_path)).count() == 5
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/none/documents.parquet")
     assert fp.op10_fingerprint(spark, f"{tmp_path}/none").count() == 0

@@ -4,6 +4,8 @@ import hashlib
 import io
 from collections import defaultdict
 
+import pytest
+
 from spindrift.llm import warc
 
 
@@ -12,7 +14,10 @@ def rows():
     return [(k, f"http://h/{k}" if k % 5 else None, html[k % 6]) for k in range(40)] + [(None, "http://n/", "only"), (50, "a\r\nb", "q"), (3, "twice", html[3])]
 
 
-def test_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("most", [warc.BROADCAST, 0])
+def test_round_trip(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(warc, "BROADCAST", most)
+    monkeypatch.setattr(warc, "HOT", 6)  # three digests fill a sixth of the rows or more
     data = rows()
     spark.createDataFrame(data, "page_id long, url string, html string").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
     best = defaultdict(lambda: -1)
@@ -56,6 +61,15 @@ def test_foreign_archives(spark, tmp_path):
             assert all(len(r.payload) == int(r.record_id[1:]) for r in got)
 
 
+def test_a_second_write_keeps_the_first(spark, tmp_path):
+    path = f"file://{tmp_path}/w"
+    for n in range(2):
+        pages = spark.createDataFrame([(10 * n + k, None, f"page {n} {k}", "y", b"z") for k in range(5)], "page_id long, url string, html string, sha string, best binary")
+        warc.write_warc(pages, path)
+    got = warc.read_warc(spark, path).select("record_id", "payload").collect()
+    assert sorted((int(r.record_id.split(":")[-1]), bytes(r.payload).decode()) for r in got) == [(10 * n + k, f"page {n} {k}") for n in range(2) for k in range(5)]
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert warc.op2_warc(spark, str(tmp_path)).count() == 0

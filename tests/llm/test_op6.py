@@ -35,10 +35,21 @@ def test_search_equals_brute_force(spark, tmp_path, monkeypatch):
     spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     want = sorted(map(str, brute(docs, bench)))
     assert sorted(str(tuple(r)) for r in dc.op6_decontaminate(spark, str(tmp_path)).collect()) == want
+    monkeypatch.setattr(dc, "COMPILED_BYTES", 70_000)  # pieces are halved
+    assert sorted(str(tuple(r)) for r in dc.op6_decontaminate(spark, str(tmp_path)).collect()) == want
     monkeypatch.setattr(dc, "BLOCK_BYTES", 300)
     assert sorted(str(tuple(r)) for r in dc.op6_decontaminate(spark, str(tmp_path)).collect()) == want
 
 
+def test_shift_table_grows_with_the_patterns():
+    """Most positions are skipped, few patterns or many."""
+    rnd = random.Random(5)
+    text = lambda n: " ".join(f"w{rnd.randrange(50_000)}" for _ in range(n))
+    for words in (2_000, 60_000):
+        (p,) = dc.compile_patterns([(str(k), text(200)) for k in range(words // 200)])
+        assert p.shift.mean() > 6 and (p.shift == 0).mean() < 0.05 and p.size < dc.COMPILED_BYTES
+
+
 def test_stage_keeps_columns_and_empty_tables(spark, tmp_path):
     docs = spark.createDataFrame([(1, "one two three", 7, "x"), (2, "four", 8, "y")], "doc_id long, text string, n_hit long, Items string")
     spark.createDataFrame([(1, "two three")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")

@@ -53,6 +53,20 @@ def test_votes_equal_brute_force():
         assert abs((w * m.labels[near]).sum() / w.sum() - s) < 1e-3
 
 
+def test_quality_that_only_words_tell():
+    """Two vocabularies of words of the same shapes: the texts differ in nothing else."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    both = [[word() for _ in range(60)] for _ in range(2)]
+    y = np.array([k % 2 for k in range(600)], float)
+    shared = [word() for _ in range(40)]
+    texts = [" ".join(rnd.choice(both[int(q)] if rnd.random() < 0.4 else shared) for _ in range(30)) + "." for q in y]
+    x = quality.terms(pa.array(texts))
+    assert len(np.unique(x[:, : quality.SHAPES], axis=0)) == 1 or np.allclose(x[:, : quality.SHAPES - quality._SPECIAL].std(axis=0), 0)
+    m = quality.fitted(x[:400], y[:400])
+    assert ((m.score(x[400:]) >= 0.5) == (y[400:] == 1)).mean() > 0.9
+
+
 def test_no_labels_and_no_documents(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     docs = spark.createDataFrame([(1, "abc")], "doc_id long, text string")
