@@ -7,18 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from spindrift.llm import decontaminate, jaccard, lines, packing, quality
 from spindrift.llm.common import drop, made, table, written
 
-_last: list[str] = []
-
-
 def _in_turn(stage):
     """The stage, after the tables of the one before have gone: its result has been written when the next one begins."""
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop(spark, *_last)
-        before = len(made.paths)
-        out = stage(spark, docs, sf_dir)
-        _last[:] = made.paths[before:]
-        return out
+        drop(spark, *made.last)
+        made.last, before = [], list(made.paths)
+        try:
+            return stage(spark, docs, sf_dir)
+        finally:  # also of a stage that fails
+            made.last = [p for p in made.paths if p not in before]
 
     return run_stage
 
@@ -37,7 +35,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+    """The last stage's rows.  Of the stages' tables the last one stays; a run that fails leaves none."""
+    before, docs = list(made.paths), table(spark, sf_dir, "documents")
+    try:
+        for name, stage in STAGES:
+            done, docs = docs, written(stage(spark, docs, sf_dir), name)
+            if hasattr(done, "_scratch"):
+                drop(spark, done)
+    except BaseException:
+        drop(spark, *(p for p in made.paths if p not in before))
+        raise
     return docs
