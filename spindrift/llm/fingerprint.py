@@ -147,7 +147,7 @@ def differing(left: str, right: str) -> str:
 def compared(df: DataFrame, left: str, right: str, to: str) -> DataFrame:
     """df with the differing digests of two columns of fingerprints' blocks in {to}_diff, and their likeness in to."""
     df = df.withColumn(f"{to}_diff", F.expr(differing(left, right)))
-    n = lambda x: f"aggregate({x}, 0, (s, t) -> s + IF(t.third = 0, size(t.cells), aggregate(t.cells, 0, (v, c) -> v + c.c) div 3))"
+    n = lambda x: f"aggregate({x}, 0, (s, t) -> s + IF(t.third = 0, size(t.cells), aggregate(t.cells, 0, (v, c) -> v + c.c, v -> cast(v div 3 as int))))"
     total, d = f"({n(left)} + {n(right)})", f"size({to}_diff)"
     return df.withColumn(to, F.expr(_let(f"cast({total} as double)", "total", f"IF(total = 0, 1D, (total - {d}) / (total + {d}))")))
 
