@@ -12,7 +12,7 @@ from spindrift.operators import partition, postings, stats
 from spindrift.operators.predicates import Op
 from spindrift.operators.search import matching, nearest_batch, search
 from spindrift.plans import categories as C
-from spindrift.plans import meta
+from spindrift.plans import meta, planner
 from spindrift.plans.request import EVERY, parse
 from spindrift.sources import render
 from spindrift.sources.schema import parse_header
@@ -397,6 +397,38 @@ def _(spark, d):
     return spark.createDataFrame([(x,) for x in docs_request(_EXPLAINED).explain()], "line string")
 
 
+@query("coordinate_predicates", f"{CTE_PLAIN} SELECT {HIT} FROM docs WHERE lat <= 3 AND lon > 100")
+def _(spark, d):
+    return found(spark, d, f"Latitude<=3&Longitude>100&{_ALL}")
+
+
+@query("nearest_growing_circles", f"{CTE_DOCS} SELECT {HIT} FROM docs WHERE list_contains(t_lang, 'de') ORDER BY miles, record_id LIMIT 15")
+def _(spark, d):
+    docs = C.docs(spark, d)
+    zones = partition.bounds(docs.withColumn("zone", F.shiftright(geo.cell(F.col("lat"), F.col("lon")), 24)), "zone")
+    return planner.nearest(docs, docs_request("lang=de&numfind=15"), zones).select("record_id", "lat", "lon", "miles")
+
+
+@query("postings_lengths", f"{CTE_DOCS}, {_POSTED} SELECT field, term, count(*) AS df FROM p GROUP BY ALL")
+def _(spark, d):
+    return postings.lengths(postings.postings(C.docs(spark, d))).select("field", "term", "df")
+
+
+_DECLARED = "made for the test tables\nFIELD DEFINITIONS\nFIELD-1\tid\tT:string\nFIELD-2\tLatitude\nFIELD-3\tLongitude\nFIELD-4\tbalance\tT:Number\n=\nid\tLatitude\tLongitude\tbalance"
+_RESULT = ["made for the test tables", "FIELD-1\tid\tT:string", "FIELD-2\tLatitude", "FIELD-3\tLongitude", "FIELD-4\tbalance\tT:Number", "FIELD-5\tlatitude", "FIELD-6\tlongitude", "FIELD-7\tdistance\tDistance", "FIELD-8\tcompass_direction\tCompass direction:  N S W E NW SW SE NE", "FIELD-9\toffset\t", "=", "id\tLatitude\tLongitude\tbalance\tlatitude\tlongitude\tdistance\tcompass_direction\toffset", "=="]
+
+
+@query("result_header", "SELECT line, CAST(row_number() OVER () AS BIGINT) AS n FROM (SELECT unnest([" + ", ".join("'" + x.replace("\t", "' || chr(9) || '") + "'" for x in _RESULT) + "]) AS line)")
+def _(spark, d):
+    return spark.createDataFrame([(x, n) for n, x in enumerate(render.header(_DECLARED), 1)], "line string, n long")
+
+
+@query("result_footer", f"{CTE_PLAIN} SELECT '===' AS line UNION ALL SELECT concat('STATS: ', count(*), ' records, ', sum(length(raw_line)), ' characters.') FROM docs WHERE {MILES} <= 3000 UNION ALL SELECT '===='")
+def _(spark, d):
+    r = stats.result_stats(matching(C.docs(spark, d), docs_request(f"d=3000&{_ALL}"))).first()
+    return spark.createDataFrame([(x,) for x in render.footer(r.hits, r.chars, 0.0) if not x.startswith("TIME")], "line string")
+
+
 _CUSTOMERS = f"SELECT c_custkey AS record_id, concat_ws(chr(9), CAST(c_custkey AS VARCHAR), c_name, c_mktsegment) AS raw_line, {_place('c_custkey')} FROM customer"
 
 
