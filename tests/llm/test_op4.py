@@ -76,7 +76,7 @@ def test_counts_base_and_scores(spark, tmp_path, monkeypatch):
             assert abs(r.score - brute_score(models[0], texts[r.doc_id], c, n)) < 1e-3 + 1e-5 * abs(r.score), r.doc_id
     untrained = attention.Attention.new()
     held_texts = [r for r in got if r.held_out and 3 < r.n_tokens < 500]
-    assert len(held_texts) > 20 and sum(r.score for r in held_texts) > sum(brute_score(untrained, texts[r.doc_id], c, n) for r in held_texts)
+    assert len(held_texts) > 10 and sum(r.score for r in held_texts) > sum(brute_score(untrained, texts[r.doc_id], c, n) for r in held_texts)
 
 
 def test_all_documents_teach(spark, monkeypatch):
