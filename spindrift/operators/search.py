@@ -38,12 +38,14 @@ def matching(category: DataFrame, request, watch: dict[str, Observation] | None
 
 
 def search(category: DataFrame, request, watch: dict[str, Observation] | None = None) -> DataFrame:
-    """The k nearest matching records in order: record_id, raw_line, lat, lon, miles, metres, compass."""
+    """The k nearest matching records in order: record_id, raw_line, lat, lon, miles, metres, compass.
+
+    Without k all of them, in no order: a sort of everything would evaluate the tests twice, to find its ranges first.
+    """
     out = matching(category, request, watch).select("record_id", "raw_line", "lat", "lon", "miles", "metres", "compass")
     if request.proximal:
         return kept(out, request.proximal, request.k)
-    out = out.orderBy("miles", "record_id")
-    return out if request.k is None else out.limit(request.k)
+    return out if request.k is None else out.orderBy("miles", "record_id").limit(request.k)
 
 
 def histogram(category: DataFrame) -> DataFrame:

@@ -45,7 +45,9 @@ def answer(plan: Callable[[dict | None], DataFrame], request: SearchRequest, hea
     """
     watch = {k: Observation() for k in ("read", "candidates", "matches")} if request.iostats else None
     began = time.perf_counter()
-    found = [r.line for r in collect_within(render.lines(plan(watch)), request.timeout)]
+    rows = plan(watch)
+    rows = rows if request.k is not None or request.proximal else rows.orderBy("miles", "record_id")
+    found = [r.line for r in collect_within(render.lines(rows), request.timeout)]
     seconds, chars = time.perf_counter() - began, sum(map(len, found))
     io = {k: o.get["rows"] for k, o in watch.items()} if watch else {}
     if io:
