@@ -18,6 +18,7 @@ rows get the same score each; texts are read whole.  Columns named like a result
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +33,8 @@ from spindrift.llm.common import appended, least_hashed, remainder, shielded, ta
 SHAPES, WORDS = 1024, 1024
 COLUMNS = SHAPES + WORDS
 RANK = 64
+#: Steps of the iteration that finds them.
+STEPS = 24
 #: Labelled documents that a fit takes at most.
 SAMPLE = 4000
 NEIGHBOURS = 9
@@ -124,14 +127,22 @@ class Model:
         return np.clip(out, 0, 1)
 
 
+def leading(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The RANK leading right singular vectors of x * idf, by subspace iteration: nothing of the size of x is made."""
+    q = np.linalg.qr(np.random.default_rng(0).standard_normal((x.shape[1], RANK + 16)))[0]
+    for _ in range(STEPS):
+        q = np.linalg.qr(idf[:, None] * (x.T @ (x @ (idf[:, None] * q).astype(np.float32))).astype(np.float64))[0]
+    # Rotated to the singular vectors within the space.
+    small = (x @ (idf[:, None] * q).astype(np.float32)).astype(np.float64)
+    return (q @ np.linalg.eigh(small.T @ small)[1][:, ::-1])[:, :RANK]
+
+
 def fitted(x: np.ndarray, labels: np.ndarray) -> Model:
     """Latent space and labelled vectors of a sample."""
     if not len(labels):
         return Model(np.zeros((COLUMNS, 1), np.float32), np.zeros((0, 1), np.float32), labels, 0.5)
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 0.1
-    xw = (x * idf).astype(np.float64)
-    values, vectors = np.linalg.eigh(xw.T @ xw)
-    top = vectors[:, ::-1][:, :RANK]
+    idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 0.1).astype(np.float32)
+    top = leading(x, idf)
     sign = np.sign(top[np.abs(top).argmax(axis=0), np.arange(top.shape[1])])
     weights = (idf[:, None] * top * sign).astype(np.float32)
     v = x @ weights
@@ -146,9 +157,12 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", sample:
     teach = least_hashed(teach.groupBy("doc_id").agg(F.avg(F.col(label).cast("double")).alias("y")), ["doc_id"], sample)
     teach = teach.select(F.col("doc_id").alias("t_id"), "y").checkpoint()
     d = documents.select("doc_id", "text").join(F.broadcast(teach), F.col("doc_id") == F.col("t_id")).select("t_id", "y", "text")
-    x = appended(d, lambda batch: {"x": pa.array([r.tobytes() for r in terms(batch.column(2))], pa.binary())}, "x binary").select("t_id", "y", "x")
+    x = appended(d, lambda batch: {"x": pa.array([zlib.compress(r.tobytes(), 1) for r in terms(batch.column(2))], pa.binary())}, "x binary").select("t_id", "y", "x")
     rows = sorted(x.groupBy("t_id").agg(F.min("y").alias("y"), F.min("x").alias("x")).collect(), key=lambda r: r.t_id)
-    return fitted(np.array([np.frombuffer(bytes(r.x), np.float32) for r in rows]).reshape(len(rows), COLUMNS), np.array([r.y for r in rows]))
+    table_ = np.empty((len(rows), COLUMNS), np.float32)
+    for k, r in enumerate(rows):
+        table_[k] = np.frombuffer(zlib.decompress(bytes(r.x)), np.float32)
+    return fitted(table_, np.array([r.y for r in rows]))
 
 
 def scored(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
