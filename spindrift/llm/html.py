@@ -283,13 +283,14 @@ class Tree:
         return self.table[at, 4] >= 0.5
 
 
-def _page(r: np.random.Generator) -> tuple[list[tuple[str, str, str, bool]], bool]:
-    """Parts of a page put together by rule: (tag that marks it, class that marks it, markup, whether it is content)."""
+def _page(r: np.random.Generator) -> tuple[list[tuple[str, str, str, bool]], bool, bool]:
+    """Parts of a page put together by rule: (tag that marks it, class that marks it, markup, whether it is content); with comments; with paragraphs of links."""
     some = lambda lo, hi: " ".join(["word"] * int(r.integers(lo, hi + 1)))
     link = lambda n: f"<a href=x>{some(1, n)}</a>"
     items = lambda: "<ul>" + "".join(f"<li>{link(3)}</li>" for _ in range(r.integers(2, 9))) + "</ul>"
     line = lambda: " ".join(link(2) for _ in range(r.integers(2, 6)))
     parts, odds = [], r.random(12)
+    linked = bool(odds[9] < 0.2)
     if odds[0] < 0.9:
         parts.append(("nav", "menu", items() if odds[1] < 0.7 else line(), False))
     if odds[2] < 0.3:
@@ -304,6 +305,8 @@ def _page(r: np.random.Generator) -> tuple[list[tuple[str, str, str, bool]], boo
         body += f"<h2>{some(1, 6)}</h2>" if k and r.random() < 0.08 else ""
         if r.random() < 0.06:
             body += "<ul>" + "".join(f"<li>{some(2, 20)}</li>" for _ in range(r.integers(2, 5))) + "</ul>"
+        if linked and r.random() < 0.4:
+            body += f"<p>{link(8)}</p>" if r.random() < 0.5 else f"<p>{some(1, 2)}{link(6)}</p>"
         body += f"<p>{some(1, 5) if r.random() < 0.2 else some(4, size)}{' ' + link(3) + ' ' + some(1, 9) if r.random() < 0.1 else ''}</p>"
     parts.append(("article", "content", body, True))
     if odds[4] < 0.25:
@@ -312,7 +315,9 @@ def _page(r: np.random.Generator) -> tuple[list[tuple[str, str, str, bool]], boo
         parts.append(("form", "subscribe", f"{some(3, 20)}", False))
     if odds[6] < 0.8:
         parts.append(("footer", "footer", some(3, 16) if odds[7] < 0.7 else f"{some(1, 5)} {line()}", False))
-    return parts, odds[8] < 0.15
+    if linked and odds[10] < 0.5:  # nothing but such a paragraph
+        parts = [(tag, name, f"<p>{some(0, 1)}{link(6)}</p>" if good else text, good) for tag, name, text, good in parts]
+    return parts, bool(odds[8] < 0.15), linked
 
 
 #: Pages put together by rule, and the seed.
@@ -328,8 +333,8 @@ def labelled() -> tuple[np.ndarray, np.ndarray]:
         labels += [t.startswith("|") for t, *_ in cut]
     r = np.random.default_rng(SEED)
     for _ in range(RULED):
-        parts, comments = _page(r)
-        for marks in range(3):  # all, tags alone, none
+        parts, comments, linked = _page(r)
+        for marks in range(2 if linked else 3):  # all, tags alone, none: then a paragraph of links can't be told from a menu
             more = [("section", "comments", "<h3>word</h3>" + "<p>word word word word word word word</p>" * 3, False)] if comments and marks == 0 else []
             named = [(tag if marks < 2 and tag != "div" else "div", f" class={name}" if marks == 0 and tag != "article" else "", body, good) for tag, name, body, good in parts + more]
             cut = [blocks(f"<{tag}{name}>{body}</{tag}>") for tag, name, body, _ in named]

@@ -35,7 +35,6 @@ def test_neighbours_decide_where_marks_are_missing(spark):
     both = [(Counter(got.split("\n")), Counter(content(p))) for got, p in zip(html.main_texts(plain), pages)]
     same, found, wanted = (sum(f(a, b).total() for a, b in both) for f in (lambda a, b: a & b, lambda a, b: a, lambda a, b: b))
     assert 2 * same / (found + wanted) >= 0.95
-    assert html.tree().table[0, 0] < 5 * 4  # the root asks about a block or its neighbours, not about marks
 
 
 def test_long_pages_take_time_in_proportion():
