@@ -17,7 +17,7 @@ WIDTH = 16
 DIGIT = 32
 WINDOW = CONTEXT + SPAN
 #: Windows that go through the model at once, and of a step in training.
-BATCH = 96
+BATCH = 64
 
 #: Bounds of a logit, and of the norm of a gradient.
 _MOST, _NORM = 40, 1
