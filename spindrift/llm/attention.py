@@ -50,6 +50,17 @@ def _ones(n: int) -> np.ndarray:
     return np.ones(n, np.float32)
 
 
+def _sums_by(ids: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """The sum of the rows of each id below n."""
+    order = np.argsort(ids.astype(np.uint16) if n <= 1 << 16 else ids, kind="stable")
+    ids = ids[order]
+    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])[: len(ids)])
+    out = np.zeros((n, rows.shape[1]), rows.dtype)
+    if len(first):
+        out[ids[first]] = np.add.reduceat(rows[order], first, axis=0)
+    return out
+
+
 @dataclass
 class Attention:
     p: dict[str, np.ndarray]
@@ -154,9 +165,7 @@ class Attention:
         de = (fdk @ p["k"].T + fdv @ p["v"].T).reshape(e.shape)
         de[:, CONTEXT:] += (fdq @ (p["q"].T * scale) + dh).reshape(eq.shape)
         g["pos"] = de.sum(axis=0)
-        ids = np.where(x >= 0, x, len(p["e"])).ravel()
-        flat = de.reshape(-1, WIDTH)
-        g["e"] = np.stack([np.bincount(ids, flat[:, d], len(p["e"]) + 1)[:-1] for d in range(WIDTH)], axis=1).astype(np.float32)
+        g["e"] = _sums_by(np.where(x >= 0, x, len(p["e"])).ravel(), de.reshape(-1, WIDTH), len(p["e"]) + 1)[:-1]
         return loss, g
 
     def train(self, x: np.ndarray, y: np.ndarray, good: np.ndarray, adam: Adam) -> None:
@@ -167,7 +176,10 @@ class Attention:
             adam.step(self.p, self.gradient(x[i], y[i], good[i])[1])
             # Scores stay where exp() can't overflow.
             top = np.abs(self.p["e"]).max() + np.abs(self.p["pos"]).max()
-            reach = top * top * np.linalg.norm(self.p["q"], 2) * np.linalg.norm(self.p["k"], 2) * np.sqrt(WIDTH)
+            scale = top * top * np.sqrt(WIDTH)
+            if scale * np.linalg.norm(self.p["q"]) * np.linalg.norm(self.p["k"]) <= 80:  # no less than with the norms below
+                continue
+            reach = scale * np.linalg.norm(self.p["q"], 2) * np.linalg.norm(self.p["k"], 2)
             if reach > 80:
                 self.p["q"] *= np.float32(np.sqrt(80 / reach))
                 self.p["k"] *= np.float32(np.sqrt(80 / reach))
@@ -195,6 +207,15 @@ class Adam:
         lr = np.float32(self.rate * np.sqrt(1 - 0.995**self.n) / (1 - 0.9**self.n))
         for n, w in p.items():
             m, v = self.m.setdefault(n, np.zeros_like(w)), self.v.setdefault(n, np.zeros_like(w))
-            m += np.float32(0.1) * (g[n] - m)
-            v += np.float32(0.005) * (g[n] * g[n] - v)
-            w -= lr * m / (np.sqrt(v) + np.float32(1e-8))
+            d = g[n] - m
+            d *= np.float32(0.1)
+            m += d
+            np.multiply(g[n], g[n], out=d)
+            d -= v
+            d *= np.float32(0.005)
+            v += d
+            np.sqrt(v, out=d)
+            d += np.float32(1e-8)
+            np.divide(m, d, out=d)
+            d *= lr
+            w -= d

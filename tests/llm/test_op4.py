@@ -143,3 +143,13 @@ def test_word_ids_have_one_start_each():
 def test_empty_table(spark):
     d = spark.createDataFrame([], "doc_id long, text string")
     assert lm.scored(d, F.lit(False)).count() == 0
+
+
+def test_sums_by_id():
+    r = np.random.default_rng(4)
+    for n in (0, 1, 500):
+        ids, rows = r.integers(0, 50, n), r.standard_normal((n, 3)).astype(np.float32)
+        want = np.zeros((60, 3))
+        np.add.at(want, ids, rows)
+        got = attention._sums_by(ids, rows, 60)
+        assert got.dtype == np.float32 and np.allclose(got, want, atol=1e-4)
