@@ -4,11 +4,16 @@ A window has CONTEXT ids that are only looked at and SPAN ids that are scored, s
 text is scored once, with CONTEXT to CONTEXT + SPAN - 1 ids before it.  Ids before the start of a
 text are masked.  An id is predicted in two parts, its high and its low digit in base DIGIT.  Models that
 were trained apart from the same start are averaged.
+
+There is one head, as wide as an id's vector, so a score is e q k' e' and what is attended to is e v o:
+the products q k' and v o are made once for all places, and keys and values are the vectors themselves.
+All parameters lie in one vector, and so does the gradient.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+
+import math
 
 import numpy as np
 
@@ -21,7 +26,8 @@ BATCH = 64
 
 #: Bounds of a logit, and of the norm of a gradient.
 _MOST, _NORM = 40, 1
-_ONES = np.ones(DIGIT, np.float32)
+_ONES = np.ones(max(DIGIT, WINDOW), np.float32)
+_SCALE = np.float32(1 / np.sqrt(WIDTH))
 _CAUSAL = (np.arange(WINDOW)[None, :] <= np.arange(CONTEXT, WINDOW)[:, None]).astype(np.float32)
 
 
@@ -46,176 +52,215 @@ def windows(ids: np.ndarray, at: np.ndarray, start: int) -> tuple[np.ndarray, np
     return out, first, scored
 
 
-def _ones(n: int) -> np.ndarray:
-    return np.ones(n, np.float32)
-
-
-def _sums_by(ids: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """The sum of the rows of each id below n."""
-    order = np.argsort(ids.astype(np.uint16) if n <= 1 << 16 else ids, kind="stable")
+def _sums_by(ids: np.ndarray, rows: np.ndarray, n: int, room: np.ndarray | None = None) -> np.ndarray:
+    """The sum of the rows of each id below n.  room: takes the rows in the order of their ids."""
+    ids = ids.astype(np.uint16) if n <= 1 << 16 else ids
+    order = np.argsort(ids, kind="stable")
     ids = ids[order]
     first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])[: len(ids)])
     out = np.zeros((n, rows.shape[1]), rows.dtype)
     if len(first):
-        out[ids[first]] = np.add.reduceat(rows[order], first, axis=0)
+        out[ids[first]] = np.add.reduceat(np.take(rows, order, axis=0, mode="clip", out=room), first, axis=0)
     return out
 
 
-@dataclass
 class Attention:
-    p: dict[str, np.ndarray]
+    """p: views of the parameters in the vector flat; each digit's offsets are the last row of its weights."""
+
+    def __init__(self, flat: np.ndarray):
+        d, self.vector, self.p, self.rooms, at = WIDTH, flat, {}, {}, 0
+        for name, shape in (("e", (DIGIT * DIGIT, d)), ("pos", (WINDOW, d)), *((n, (d, d)) for n in "qkvo"), ("high", (d + 1, DIGIT)), ("low", (DIGIT, d + 1, DIGIT))):
+            size = int(np.prod(shape))
+            self.p[name] = flat[at : at + size].reshape(shape)
+            at += size
+        self.high, self.low = self.p.pop("high"), self.p.pop("low")
+        self.p |= {"a": self.high[:d], "ba": self.high[d], "b": self.low[:, :d], "t": self.low[:, d]}
+
+    def __reduce__(self):
+        return Attention, (self.vector,)
+
+    @classmethod
+    def zeros(cls) -> Attention:
+        return cls(np.zeros((DIGIT * DIGIT + WINDOW + 4 * WIDTH) * WIDTH + (DIGIT + 1) * (WIDTH + 1) * DIGIT, np.float32))
 
     @classmethod
     def new(cls, seed: int = 0) -> Attention:
-        r, d, v = np.random.default_rng(seed), WIDTH, DIGIT * DIGIT
+        r, d, v, out = np.random.default_rng(seed), WIDTH, DIGIT * DIGIT, cls.zeros()
         w = lambda *s: (r.standard_normal(s) * 0.3 / np.sqrt(s[0] if s[0] < 100 else 1)).astype(np.float32)
-        return cls({"e": w(v, d), "pos": w(WINDOW, d) * 0.1, "q": w(d, d), "k": w(d, d), "v": w(d, d), "o": w(d, d), "a": w(d, DIGIT), "ba": np.zeros(DIGIT, np.float32), "b": w(d, DIGIT, DIGIT).transpose(1, 0, 2).copy(), "t": np.zeros((DIGIT, DIGIT), np.float32)})
+        for name, value in {"e": w(v, d), "pos": w(WINDOW, d) * 0.1, "q": w(d, d), "k": w(d, d), "v": w(d, d), "o": w(d, d), "a": w(d, DIGIT), "b": w(d, DIGIT, DIGIT).transpose(1, 0, 2)}.items():
+            out.p[name][:] = value
+        return out
+
+    def _room(self, name: str, *shape: int) -> np.ndarray:
+        """An array in a place that stays from batch to batch, and is shared by arrays that are not needed at once.
+
+        The system takes about as long to hand out fresh pages as it takes to fill them, and what is
+        used again soon is still in the processor's cache.
+        """
+        size = math.prod(shape)
+        if (a := self.rooms.get(name)) is None or len(a) < size:
+            a = self.rooms[name] = np.empty(size, np.float32)
+        return a[:size].reshape(shape)
 
     def _forward(self, x: np.ndarray):
-        p, seen = self.p, (x >= 0)
-        e = p["e"][np.maximum(x, 0)] + p["pos"]
-        flat = e.reshape(-1, WIDTH)
-        k = (flat @ p["k"]).reshape(e.shape)
-        v = np.ones((*x.shape, WIDTH + 1), np.float32)
-        v[..., :WIDTH] = (flat @ p["v"]).reshape(e.shape)
-        v *= seen[..., None]
-        eq = np.ascontiguousarray(e[:, CONTEXT:])
-        q = (eq.reshape(-1, WIDTH) @ (p["q"] / np.float32(np.sqrt(WIDTH)))).reshape(eq.shape)
-        s = q @ k.transpose(0, 2, 1)
+        p, n, room = self.p, len(x), self._room
+        e, et, eq = room("e", n, WINDOW, WIDTH), room("et", n, WIDTH, WINDOW), room("eq", n * SPAN, WIDTH)
+        np.take(p["e"], x, axis=0, mode="clip", out=e)  # -1 takes the first id's, and gets no weight
+        e += p["pos"]
+        et[:] = e.transpose(0, 2, 1)
+        eq.reshape(n, SPAN, WIDTH)[:] = e[:, CONTEXT:]
+        q = np.matmul(eq, p["q"] @ p["k"].T * _SCALE, out=room("q", n * SPAN, WIDTH)).reshape(n, SPAN, WIDTH)
+        s = np.matmul(q, et, out=room("s", n, SPAN, WINDOW))
         np.exp(s, out=s)
         s *= _CAUSAL
-        u = s @ v
-        z = u[..., :WIDTH] / u[..., WIDTH:]
-        h = (eq + (z.reshape(-1, WIDTH) @ p["o"]).reshape(eq.shape)).reshape(-1, WIDTH)
-        return e, eq, k, v, q, s, u, z, h
+        starts = np.flatnonzero(x[:, 0] < 0)  # of texts
+        if len(starts):
+            s[starts] *= (x[starts] >= 0)[:, None, :]
+        w = (s.reshape(-1, WINDOW) @ _ONES[:WINDOW])[:, None]
+        z = np.matmul(s, e, out=room("z", n, SPAN, WIDTH)).reshape(-1, WIDTH)
+        z /= w
+        h = room("h", n * SPAN, WIDTH + 1)
+        np.add(eq, np.matmul(z, p["v"] @ p["o"], out=room("one", n * SPAN, WIDTH)), out=h[:, :WIDTH])
+        h[:, WIDTH] = 1
+        return e, et, eq, q, s, w, z, h
 
     def _digits(self, h: np.ndarray, y: np.ndarray):
         """exp of the logits of the high and of the low digit and their sums, for places in the order of their high digit.
 
         Each high digit has weights of its own for the low one, so places that share it lie next to each other.
+        Also where the digits of y are in them.
         """
         hi = y // DIGIT
         order = np.argsort(hi.astype(np.uint8), kind="stable")
-        at = np.searchsorted(hi[order], np.arange(DIGIT + 1))
-        hs = h[order]
-        la, lb = hs @ self.p["a"], np.empty((len(y), DIGIT), np.float32)
-        la += self.p["ba"]
-        for k in range(DIGIT):
-            if at[k + 1] > at[k]:
-                np.matmul(hs[at[k] : at[k + 1]], self.p["b"][k], out=lb[at[k] : at[k + 1]])
-                lb[at[k] : at[k + 1]] += self.p["t"][k]
-        n, ys = np.arange(len(y)), y[order]
-        for logits in (la, lb):  # exp() can't overflow
-            np.clip(logits, -_MOST, _MOST, out=logits)
-        won = la[n, ys // DIGIT] + lb[n, ys % DIGIT]
-        np.exp(la, out=la)
-        np.exp(lb, out=lb)
-        return order, at, hs, ys, la, lb, la @ _ONES, lb @ _ONES, won
+        at = np.append(0, np.cumsum(np.bincount(hi, minlength=DIGIT))).tolist()
+        hs, both = self._room("hs", *h.shape), self._room("both", 2, len(y), DIGIT)
+        np.take(h, order, axis=0, mode="clip", out=hs)
+        np.matmul(hs, self.high, out=both[0])
+        for k, (lo, up) in enumerate(zip(at, at[1:])):
+            if up > lo:
+                np.dot(hs[lo:up], self.low[k], out=both[1, lo:up])
+        np.clip(both, -_MOST, _MOST, out=both)  # exp() can't overflow
+        np.exp(both, out=both)
+        ys, n = y[order], np.arange(0, y.size * DIGIT, DIGIT)
+        high = ys // DIGIT
+        return order, at, hs, both, both.reshape(-1, DIGIT) @ _ONES[:DIGIT], np.concatenate([n + high, n + (y.size * DIGIT) + ys - high * DIGIT])
 
     def log10(self, x: np.ndarray, y: np.ndarray, starts: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """log10 probabilities at the scored places of windows x: of the ids y (n, SPAN), and of any id whose high digit is starts or more."""
         out, begins = np.empty(y.size, np.float32), np.empty(y.size, np.float32)
         for i in range(0, len(x), BATCH):
-            h = self._forward(x[i : i + BATCH])[-1]
-            order, _, _, _, la, _, sa, sb, won = self._digits(h, y[i : i + BATCH].ravel())
+            order, _, _, both, total, won = self._digits(self._forward(x[i : i + BATCH])[-1], y[i : i + BATCH].ravel())
             to = order + i * SPAN
-            out[to] = won - np.log(sa * sb)
-            begins[to] = np.log(la[:, starts:] @ _ONES[starts:] / sa)
+            out[to] = np.log(both.ravel()[won] / total).reshape(2, -1).sum(axis=0)
+            begins[to] = np.log(both[0, :, starts:] @ _ONES[starts:DIGIT] / total[: len(to)])
         scale = np.float32(1 / np.log(10))
         return (out * scale).reshape(y.shape), (begins * scale).reshape(y.shape)
 
     def gradient(self, x: np.ndarray, y: np.ndarray, good: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss in nats over the good places, and its gradient."""
-        p, g = self.p, {}
-        e, eq, k, v, q, s, u, z, h = self._forward(x)
-        m = good.ravel().astype(np.float32)
+        g = Attention.zeros()
+        order, log = self._gradient(x, y, good, g, True)
+        m = good.ravel()[order]
+        return float(-log[m].sum() / max(1, m.sum())), g.p
+
+    def _gradient(self, x: np.ndarray, y: np.ndarray, good: np.ndarray, to: Attention, logs: bool = False):
+        """Puts the gradient into to; gives the log chances of y, in the order that comes first, if they are asked for."""
+        p, g, room = self.p, to.p, self._room
+        e, et, eq, q, s, w, z, h = self._forward(x)
+        order, at, hs, both, total, won = self._digits(h, y.ravel())
+        flat = both.reshape(-1)
+        log = np.log(flat[won] / total).reshape(2, -1).sum(axis=0) if logs else None
+        m = good.ravel()[order].astype(np.float32)
         m /= max(1.0, m.sum())
-        order, at, hs, ys, da, db, sa, sb, won = self._digits(h, y.ravel())
-        ms, n = m[order], np.arange(len(order))
-        loss = float(((np.log(sa * sb) - won) * ms).sum())
-        da *= (ms / sa)[:, None]
-        db *= (ms / sb)[:, None]
-        da[n, ys // DIGIT] -= ms
-        db[n, ys % DIGIT] -= ms
-        g["a"], g["ba"] = hs.T @ da, _ones(len(da)) @ da
-        g["b"], g["t"] = np.zeros_like(p["b"]), np.zeros_like(p["t"])
-        dhs = da @ p["a"].T
-        for c in range(DIGIT):
-            lo, hi = at[c], at[c + 1]
+        both *= (m / total.reshape(2, -1))[..., None]
+        flat[won] -= np.concatenate([m, m])
+        da, db = both
+        np.matmul(hs.T, da, out=to.high)
+        dhs, low = np.matmul(da, p["a"].T, out=room("one", *z.shape)), room("two", *z.shape)
+        to.low[:] = 0
+        for c, (lo, hi) in enumerate(zip(at, at[1:])):
             if hi > lo:
-                g["b"][c], g["t"][c] = hs[lo:hi].T @ db[lo:hi], _ones(hi - lo) @ db[lo:hi]
-                dhs[lo:hi] += db[lo:hi] @ p["b"][c].T
-        dh = np.empty_like(dhs)
+                np.dot(hs[lo:hi].T, db[lo:hi], out=to.low[c])
+                np.dot(db[lo:hi], p["b"][c].T, out=low[lo:hi])
+        dhs += low
+        dh = room("h", *z.shape)
         dh[order] = dhs
-        g["o"] = z.reshape(-1, WIDTH).T @ dh
-        # With z = u / w, w the sum of weights: what the weights and the values get.
-        du = np.empty_like(u)
-        dz = (dh @ p["o"].T).reshape(z.shape)
-        du[..., :WIDTH] = dz / u[..., WIDTH:]
-        du[..., WIDTH] = -np.einsum("bqd,bqd->bq", du[..., :WIDTH], z)
-        dv = (s.transpose(0, 2, 1) @ du)[..., :WIDTH]
-        ds = du @ v.transpose(0, 2, 1)
+        # h = eq + z (v o)
+        vo = p["v"] @ p["o"]
+        dvo = z.T @ dh
+        np.matmul(dvo, p["o"].T, out=g["v"])
+        np.matmul(p["v"].T, dvo, out=g["o"])
+        # With z = u / w, w the sum of weights: what the weights and the vectors get.
+        du = np.matmul(dh, vo.T, out=room("one", *z.shape))
+        du /= w
+        dw = np.einsum("bd,bd->b", du, z).reshape(*q.shape[:2], 1)
+        du = du.reshape(q.shape)
+        ds = np.matmul(du, et, out=room("both", *s.shape))
+        ds -= dw
         ds *= s
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        scale = np.float32(1 / np.sqrt(WIDTH))
-        dv = dv * (x >= 0)[..., None]
-        flat, fq, fdq, fdk, fdv = (w.reshape(-1, WIDTH) for w in (e, eq, dq, dk, dv))
-        g["q"] = fq.T @ fdq * scale
-        g["k"], g["v"] = flat.T @ fdk, flat.T @ fdv
-        de = (fdk @ p["k"].T + fdv @ p["v"].T).reshape(e.shape)
-        de[:, CONTEXT:] += (fdq @ (p["q"].T * scale) + dh).reshape(eq.shape)
-        g["pos"] = de.sum(axis=0)
-        g["e"] = _sums_by(np.where(x >= 0, x, len(p["e"])).ravel(), de.reshape(-1, WIDTH), len(p["e"]) + 1)[:-1]
-        return loss, g
+        de = np.matmul(s.transpose(0, 2, 1), du, out=room("et", *e.shape))
+        de += np.matmul(ds.transpose(0, 2, 1), q, out=room("rows", *e.shape))
+        # Scores are eq (q k') e'.
+        dq = np.matmul(ds, e, out=room("one", *q.shape)).reshape(-1, WIDTH)
+        dqk = eq.T @ dq * _SCALE
+        np.matmul(dqk, p["k"], out=g["q"])
+        np.matmul(dqk.T, p["q"], out=g["k"])
+        dh += np.matmul(dq, p["k"] @ p["q"].T * _SCALE, out=room("two", *z.shape))
+        de[:, CONTEXT:] += dh.reshape(q.shape)
+        np.sum(de, axis=0, out=g["pos"])
+        # What stands before a text has no weight, so nothing is added for it.
+        g["e"][:] = _sums_by(np.maximum(x, 0).ravel(), de.reshape(-1, WIDTH), len(p["e"]), room("rows", de.size // WIDTH, WIDTH))
+        return order, log
 
     def train(self, x: np.ndarray, y: np.ndarray, good: np.ndarray, adam: Adam) -> None:
         """A step for every BATCH of the windows, in random order."""
-        order = adam.random.permutation(len(x))
+        order, g = adam.random.permutation(len(x)), Attention.zeros()
         for k in range(0, len(x), BATCH):
             i = order[k : k + BATCH]
-            adam.step(self.p, self.gradient(x[i], y[i], good[i])[1])
+            self._gradient(x[i], y[i], good[i], g)
+            adam.step(self.vector, g.vector)
             # Scores stay where exp() can't overflow.
             top = np.abs(self.p["e"]).max() + np.abs(self.p["pos"]).max()
             scale = top * top * np.sqrt(WIDTH)
             if scale * np.linalg.norm(self.p["q"]) * np.linalg.norm(self.p["k"]) <= 80:  # no less than with the norms below
                 continue
-            reach = scale * np.linalg.norm(self.p["q"], 2) * np.linalg.norm(self.p["k"], 2)
+            reach = scale * np.sqrt(np.prod([np.linalg.eigvalsh(w.T @ w)[-1] for w in (self.p["q"], self.p["k"])]))
             if reach > 80:
                 self.p["q"] *= np.float32(np.sqrt(80 / reach))
                 self.p["k"] *= np.float32(np.sqrt(80 / reach))
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([w.ravel() for w in self.p.values()])
+        return self.vector.copy()
 
     def filled(self, flat: np.ndarray) -> Attention:
         """A model of this one's shape with other parameters."""
-        at = np.cumsum([0, *(w.size for w in self.p.values())])
-        return Attention({n: flat[a:b].astype(np.float32).reshape(w.shape) for (n, w), a, b in zip(self.p.items(), at, at[1:])})
+        return Attention(flat.astype(np.float32))
 
 
 class Adam:
     def __init__(self, rate: float, seed: int):
         self.rate, self.n, self.random = rate, 0, np.random.default_rng(seed)
-        self.m: dict[str, np.ndarray] = {}
-        self.v: dict[str, np.ndarray] = {}
+        self.m = self.v = self.d = np.zeros(0, np.float32)
 
-    def step(self, p: dict[str, np.ndarray], g: dict[str, np.ndarray]) -> None:
+    def step(self, p: np.ndarray, g: np.ndarray) -> None:
+        """Moves p by the gradient g, which it may scale."""
+        if not self.n:
+            self.m, self.v, self.d = (np.zeros_like(p) for _ in range(3))
         self.n += 1
-        norm = np.sqrt(sum(float(np.vdot(w, w)) for w in g.values()))
+        m, v, d = self.m, self.v, self.d
+        norm = np.sqrt(float(np.vdot(g, g)))
         if norm > _NORM:
-            g = {n: w * np.float32(_NORM / norm) for n, w in g.items()}
+            g *= np.float32(_NORM / norm)
         lr = np.float32(self.rate * np.sqrt(1 - 0.995**self.n) / (1 - 0.9**self.n))
-        for n, w in p.items():
-            m, v = self.m.setdefault(n, np.zeros_like(w)), self.v.setdefault(n, np.zeros_like(w))
-            d = g[n] - m
-            d *= np.float32(0.1)
-            m += d
-            np.multiply(g[n], g[n], out=d)
-            d -= v
-            d *= np.float32(0.005)
-            v += d
-            np.sqrt(v, out=d)
-            d += np.float32(1e-8)
-            np.divide(m, d, out=d)
-            d *= lr
-            w -= d
+        np.subtract(g, m, out=d)
+        d *= np.float32(0.1)
+        m += d
+        np.multiply(g, g, out=d)
+        d -= v
+        d *= np.float32(0.005)
+        v += d
+        np.sqrt(v, out=d)
+        d += np.float32(1e-8)
+        np.divide(m, d, out=d)
+        d *= lr
+        p -= d

@@ -16,19 +16,21 @@ add up to one over all words.  The score mixes it, with weight 1 - MIX, with the
 tokens that teach, which also adds up to one; a word that was never seen has the attention model's share
 alone.  Every id is scored once, given CONTEXT to CONTEXT + SPAN - 1 ids before it.
 
-Documents are dealt to buckets by hash, about BUCKET_BYTES of text in each.  A bucket sends each of its
+Documents are dealt to buckets by hash, about BUCKET_BYTES of text in each.  A bucket is cut into words and
+ids once, which are written down: training and scoring read those.  It sends each of its
 distinct words' hashes once, with the bucket's own count, to the fragment of the hash; the fragment adds
 up, and the totals go back.  So a frequent word costs a number for each bucket, and no table of all words
 is ever in one place.
 
 Null texts are empty: an end alone.  Repeated rows count again, and get equal scores.  A null doc_id is
 not held out.  Texts are scored whole, however long, and an empty table has no scores.  Other columns are
-not read, whatever their names.  Words are told apart by 64-bit hashes.
+not read, whatever their names.  Words are told apart by 64-bit hashes of their ids.
 """
 
 from __future__ import annotations
 
 import functools
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -49,7 +51,9 @@ SLICES = 16
 ROUNDS = ((range(0, 1), 0.02), (range(1, 4), 0.01), (range(4, 10), 0.005), (range(10, 14), 0.002), (range(14, 16), 0.0007))
 #: Bytes of text that training goes over at least, if there is any; passes over one text at most.
 LEAST_BYTES, PASSES = 32 << 20, 64
-#: Bytes of text that windows are made of and shuffled at once.
+#: Bytes of all texts for each task of a round at least: models of fewer steps average worse.
+TASK_BYTES = 32 << 20
+#: Bytes of ids, two each, that windows are made of and shuffled at once.
 SHUFFLED = 2 << 20
 #: Share of the word counts in a word's probability.
 MIX = 0.25
@@ -114,6 +118,16 @@ def _ragged(ids: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndar
     return ids[np.repeat(at[which] - to[:-1], size) + np.arange(to[-1])], to
 
 
+def _unique(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes, and which of them each one is; only the distinct ones are sorted."""
+    found = pa.array(hashes).dictionary_encode()
+    distinct = np.asarray(found.dictionary)
+    order = np.argsort(distinct)
+    to = np.empty(len(order), np.int64)
+    to[order] = np.arange(len(order))
+    return distinct[order], to[np.asarray(found.indices)]
+
+
 def _with_ends(words: np.ndarray, first: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Word numbers with end's after each document, and offsets."""
     return np.insert(words, first[1:], end), first + np.arange(len(first))
@@ -131,19 +145,19 @@ class Vocabulary:
 
     @classmethod
     def of(cls, chunked: list, vocabulary: Ids) -> Vocabulary:
-        unique, which = np.unique(np.concatenate([np.zeros(0, np.uint64), *(c[-1] for c in chunked)]), return_inverse=True)
-        seen, used, texts, order = np.zeros(len(unique), bool), 0, [], [np.zeros(0, np.int64)]
+        unique, which = _unique(np.concatenate([np.zeros(0, np.uint64), *(c[-1] for c in chunked)]))
+        first = np.empty(len(unique), np.int64)
+        first[which[::-1]] = np.arange(len(which))[::-1]  # of several numbers for a place the last one stays
+        new = np.zeros(len(which), bool)
+        new[first] = True
+        used, texts = 0, []
         for _, _, data, starts, ends, _, h in chunked:
-            own = which[used : used + len(h)]
+            place = np.flatnonzero(new[used : used + len(h)])
             used += len(h)
-            word, place = np.unique(own, return_index=True)
-            new = ~seen[word]
-            seen[word] = True
-            order.append(word[new])
-            texts.append(_joined(data, starts[place[new]], ends[place[new]]))
+            texts.append(_joined(data, starts[place], ends[place]))
         ids, at = vocabulary.words(b"".join(texts))
         number = np.empty(len(unique) + 1, np.int64)
-        number[np.concatenate(order)] = np.arange(len(unique))
+        number[which[new]] = np.arange(len(unique))
         number[-1] = len(unique)
         return cls(unique, which, np.append(ids, np.int32(vocabulary.end)), np.append(at, len(ids) + 1), number)
 
@@ -154,8 +168,14 @@ def _averaged(t: pa.Table) -> pa.Table:
     return pa.table({"task": t.column("task").slice(0, 1), "n": pa.array([int(n.sum())]), "p": pa.array([p.astype("<f4").tobytes()], pa.binary())})
 
 
+def _streams(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, ids, offsets) of consecutive runs of rows of ids."""
+    for a, b, data, at in bw.chunks(column):
+        yield a, b, np.frombuffer(data.tobytes(), "<u2").astype(np.int32), at // 2
+
+
 def trained(texts: DataFrame, vocabulary: Ids, model: Attention, rate: float, passes: int = 1) -> tuple[int, Attention]:
-    """How many ids the texts have, and the average of the models that the tasks make of model."""
+    """How many ids the texts have, and the average of the models that the tasks make of model.  texts: rows of ids."""
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,14 +183,10 @@ def trained(texts: DataFrame, vocabulary: Ids, model: Attention, rate: float, pa
 
         def learn(chunked: list) -> None:
             nonlocal own, seen, adam
-            words = Vocabulary.of(chunked, vocabulary)
-            adam = adam or Adam(rate, int(words.unique[0] >> np.uint64(32)) if len(words.unique) else 0)
-            own, used, xs, ys = own or shared.value.filled(shared.value.flat()), 0, [], []
-            for _, _, _, _, _, first, h in chunked:
-                tokens, docs_at = _with_ends(words.which[used : used + len(h)], first, len(words.unique))
-                used += len(h)
-                stream, word_at = _ragged(words.ids, words.at, words.number[tokens])
-                x, place, n = windows(stream, word_at[docs_at], vocabulary.end)
+            adam = adam or Adam(rate, zlib.crc32(chunked[0][0]))
+            own, xs, ys = own or shared.value.filled(shared.value.flat()), [], []
+            for stream, at in chunked:
+                x, place, n = windows(stream, at, vocabulary.end)
                 y = stream[np.minimum(place[:, None] + np.arange(SPAN), len(stream) - 1)]
                 y[np.arange(SPAN)[None, :] >= n[:, None]] = -1
                 xs.append(x)
@@ -182,9 +198,9 @@ def trained(texts: DataFrame, vocabulary: Ids, model: Attention, rate: float, pa
 
         left, size = [], 0
         for batch in batches:
-            for chunk in _words(batch.column(0)):
-                left.append(chunk)
-                size += len(chunk[2])
+            for _, _, stream, at in _streams(batch.column(0)):
+                left.append((stream, at))
+                size += 2 * len(stream)
                 if size >= SHUFFLED:
                     learn(left)
                     left, size = [], 0
@@ -193,7 +209,7 @@ def trained(texts: DataFrame, vocabulary: Ids, model: Attention, rate: float, pa
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([own.flat().astype("<f4").tobytes()], pa.binary())], names=["n", "p"])
 
-    made = texts.select("text").mapInArrow(run, "n long, p binary")
+    made = texts.select("ids").mapInArrow(run, "n long, p binary")
     # Averaged in two steps, so that no group grows with the number of tasks.
     made = made.withColumn("task", F.pmod(F.xxhash64("p"), F.lit(64)).cast("int")).groupBy("task").applyInArrow(_averaged, "task int, n long, p binary")
     got = made.withColumn("task", F.lit(0)).groupBy("task").applyInArrow(_averaged, "task int, n long, p binary").collect()
@@ -202,9 +218,11 @@ def trained(texts: DataFrame, vocabulary: Ids, model: Attention, rate: float, pa
 
 
 def fit(documents: DataFrame, path: str, size: int, rounds=ROUNDS) -> Attention:
-    """The attention model of all documents that are not held out.  size: bytes of all texts."""
+    """The attention model of all documents that are not held out, with their texts or as encoded() gives them.  size: bytes of all texts."""
     vocabulary, model = ids_of(path), Attention.new()
-    d = documents.filter("NOT held").select("text", F.pmod(F.xxhash64("doc_id", "text", F.lit("slice")), F.lit(SLICES)).alias("slice"))
+    if "ids" not in documents.columns:
+        documents = encoded(documents, vocabulary, size)
+    d = documents.filter("NOT held").select("ids", "slice").coalesce(max(1, int(size) // TASK_BYTES))
     passes = int(np.clip(LEAST_BYTES // max(1, size), 1, PASSES))
     for slices, rate in rounds:
         _, model = trained(d.filter(F.col("slice").between(slices[0], slices[-1])), vocabulary, model, rate, passes)
@@ -215,28 +233,61 @@ def _fragments(hashes: np.ndarray, n: int) -> np.ndarray:
     return np.floor((hashes >> np.uint64(32)).astype(np.float64) * (n / 2.0**32)).astype(np.int64)
 
 
-def _dictionary(fragments: int):
+def _hashes(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of each word's ids; at: offsets of the words."""
+    return bw.span_hashes(np.frombuffer(ids.astype("<u2").tobytes(), np.uint8), 2 * at[:-1], 2 * at[1:])
+
+
+def _runs(data: np.ndarray, at: np.ndarray) -> pa.Array:
+    """The bytes of runs of numbers; at: their offsets."""
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * data.itemsize).astype(np.int32)), pa.py_buffer(data)])
+
+
+def _encoded(vocabulary: Ids, fragments: int):
     def run(t: pa.Table) -> pa.Table:
-        """A bucket's distinct words and how often its documents that teach have them, by fragment."""
-        held = np.asarray(t.column("held").combine_chunks()) if len(t) else np.zeros(0, bool)
-        hashes, teach = [], []
-        for a, b, _, _, _, first, h in _words(t.column("text")):
-            hashes.append(h)
-            teach.append(np.repeat(~held[a:b], np.diff(first)))
-        h, which = np.unique(np.concatenate(hashes), return_inverse=True)
-        n = np.bincount(which, weights=np.concatenate(teach), minlength=len(h)).astype("<u4")
+        """A bucket's documents as ids; and by fragment its distinct words and how often its documents that teach have them."""
+        t = t.sort_by([("doc_id", "ascending"), ("slice", "ascending")])  # a shuffle's order is a matter of chance
+        teach = ~np.asarray(t.column("held").combine_chunks())
+        chunked = list(_words(t.column("text")))
+        words = Vocabulary.of(chunked, vocabulary)
+        used, n, ids = 0, np.zeros(len(words.unique), np.int64), []
+        for a, b, _, _, _, first, h in chunked:
+            which = words.which[used : used + len(h)]
+            used += len(h)
+            n += np.bincount(which[np.repeat(teach[a:b], np.diff(first))], minlength=len(n))
+            own, docs_at = _with_ends(which, first, len(words.unique))
+            stream, word_at = _ragged(words.ids, words.at, words.number[own])
+            ids.append(_runs(stream.astype("<u2"), word_at[docs_at]))
+        h = _hashes(words.ids, words.at)[words.number[:-1]]
+        order = np.argsort(h)
+        bucket, h, n = t.column("bucket")[0].as_py(), h[order], n[order]
         at = np.searchsorted(_fragments(h, fragments), np.arange(fragments + 1))
         k = np.flatnonzero(np.diff(at))
-        return pa.table({"bucket": pa.array(np.full(len(k), t.column("bucket")[0].as_py(), np.int32)), "fragment": pa.array(k.astype(np.int32)), "words": pa.array([h[at[i] : at[i + 1]].astype("<u8").tobytes() for i in k], pa.binary()), "counts": pa.array([n[at[i] : at[i + 1]].tobytes() for i in k], pa.binary())})
+        at = np.append(at[k], len(h))
+        rows = t.select(["bucket", "doc_id", "held", "slice"]).append_column("ids", pa.chunked_array(ids))
+        own = {"bucket": pa.array(np.full(len(k), bucket, np.int32)), "fragment": pa.array(k.astype(np.int32)), "hashes": _runs(h.astype("<u8"), at), "counts": _runs(n.astype("<u4"), at)}
+        return pa.concat_tables([rows, pa.table(own)], promote_options="default")
 
     return run
 
 
+def encoded(documents: DataFrame, vocabulary: Ids, size: int) -> DataFrame:
+    """Documents, with doc_id, text and held, as rows of ids; and rows of distinct words, which have a fragment, hashes and counts.  size: bytes of all texts."""
+    spark = documents.sparkSession
+    bounded_batches(spark)
+    fragments = max(parts(spark), int(size) // BUCKET_BYTES + 1)
+    d = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("held", F.lit(False)).alias("held"))
+    d = d.withColumn("slice", F.pmod(F.xxhash64("doc_id", "text", F.lit("slice")), F.lit(SLICES)).cast("int"))
+    d = d.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(fragments)).cast("int"))
+    own = f"bucket int, doc_id {d.schema['doc_id'].dataType.simpleString()}, held boolean, slice int, ids binary, fragment int, hashes binary, counts binary"
+    return written(d.groupBy("bucket").applyInArrow(_encoded(vocabulary, fragments), own), "ids")
+
+
 def _totals(t: pa.Table) -> pa.Table:
     """The words' counts in all buckets, for each bucket in its order; and the fragment's tokens and distinct words (bucket null)."""
-    words = [np.frombuffer(x.as_buffer(), "<u8") for x in t.column("words")]
+    words = [np.frombuffer(x.as_buffer(), "<u8") for x in t.column("hashes")]
     counts = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in t.column("counts")]).astype(np.int64)
-    unique, which = np.unique(np.concatenate(words), return_inverse=True)
+    unique, which = _unique(np.concatenate(words))
     total = np.zeros(len(unique), np.int64)
     np.add.at(total, which, counts)
     back, at = total[which], np.cumsum([0, *map(len, words)])
@@ -282,37 +333,43 @@ def scored(documents: DataFrame, held, path: str | None = None, rounds=ROUNDS) -
     bounded_batches(spark)
     path = path or subwords.default_path()
     vocabulary = ids_of(path)
-    d = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(held, F.lit(False)).alias("held"))
+    d = documents.select("doc_id", "text", F.coalesce(held, F.lit(False)).alias("held"))
     size, ends = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if(~F.col("held"))).first()
-    model = spark.sparkContext.broadcast(fit(d, path, size, rounds))
-    fragments = max(parts(spark), int(size) // BUCKET_BYTES + 1)
-    d = d.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(fragments)).cast("int"))
-    words = d.select("bucket", "held", "text").groupBy("bucket").applyInArrow(_dictionary(fragments), "bucket int, fragment int, words binary, counts binary")
+    rows = encoded(d, vocabulary, size)
+    model = spark.sparkContext.broadcast(fit(rows, path, size, rounds))
+    words = rows.filter("fragment IS NOT NULL").select("bucket", "fragment", "hashes", "counts")
     totals = written(words.groupBy("fragment").applyInArrow(_totals, "bucket int, fragment int, totals binary, tokens long, distinct long"), "counts")
     n, v = totals.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     n, v = int(n) + ends, int(v) + (ends > 0)
 
     def run(docs: pa.Table, back: pa.Table) -> pa.Table:
-        rows = len(docs)
-        if not rows:
+        n_docs = len(docs)
+        if not n_docs:
             return pa.table({k: pa.array([], t) for k, t in zip(names, (kind, pa.bool_(), *[pa.int64()] * 2, *[pa.float64()] * 2))})
         back = back.sort_by("fragment")
         totals = np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(x.as_buffer(), "<u8") for x in back.column("totals"))]).astype(np.float64)
-        chunked = list(_words(docs.column("text")))
-        words = Vocabulary.of(chunked, vocabulary)
         count = np.append(totals, ends)  # by hash; the end comes last
         log_base = np.log10(count + 1) - np.log10(n + v + 1)
         share = MIX * count / max(1, n)
-        base, score = np.empty(rows), np.empty(rows)
-        tokens, known = np.empty(rows, np.int64), np.empty(rows, np.int64)
+        base, score = np.empty(n_docs), np.empty(n_docs)
+        tokens, known = np.empty(n_docs, np.int64), np.empty(n_docs, np.int64)
+        chunked, hashes = [], []
+        for a, b, stream, at in _streams(docs.column("ids")):
+            word_at = np.append(np.flatnonzero(stream >= vocabulary.starts * DIGIT), len(stream))
+            docs_at = np.searchsorted(word_at, at)
+            inner = np.ones(len(word_at) - 1, bool)
+            inner[docs_at[1:] - 1] = False  # the ends
+            chunked.append((a, b, stream, word_at, docs_at, inner))
+            hashes.append(_hashes(stream, word_at)[inner])
+        _, which = _unique(np.concatenate(hashes))  # in the order of totals
         used = 0
-        for a, b, _, _, _, first, h in chunked:
-            own, docs_at = _with_ends(words.which[used : used + len(h)], first, len(words.unique))
-            used += len(h)
+        for a, b, stream, word_at, docs_at, inner in chunked:
+            own = np.full(len(inner), len(totals))
+            own[inner] = which[used : used + np.count_nonzero(inner)]
+            used += np.count_nonzero(inner)
             tokens[a:b] = np.diff(docs_at)
             known[a:b] = np.add.reduceat((count[own] > 0).astype(np.int64), docs_at[:-1])
             base[a:b] = np.add.reduceat(log_base[own], docs_at[:-1])
-            stream, word_at = _ragged(words.ids, words.at, words.number[own])
             log = log_words(model.value, vocabulary, stream, word_at, docs_at) + np.log10(1 - MIX)
             # A long word's chance may be too small for a number that is no logarithm.
             with np.errstate(divide="ignore", under="ignore"):
@@ -323,7 +380,7 @@ def scored(documents: DataFrame, held, path: str | None = None, rounds=ROUNDS) -
     names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
     id_type = documents.schema["doc_id"].dataType.simpleString()
     kind = {"int": pa.int32(), "string": pa.string()}.get(id_type, pa.int64())
-    both = d.groupBy("bucket").cogroup(totals.filter("bucket IS NOT NULL").select("bucket", "fragment", "totals").groupBy("bucket"))
+    both = rows.filter("fragment IS NULL").select("bucket", "doc_id", "held", "ids").groupBy("bucket").cogroup(totals.filter("bucket IS NOT NULL").select("bucket", "fragment", "totals").groupBy("bucket"))
     out = both.applyInArrow(run, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -1,5 +1,6 @@
 import collections
 import math
+import pickle
 import random
 import re
 import zlib
@@ -153,3 +154,37 @@ def test_sums_by_id():
         np.add.at(want, ids, rows)
         got = attention._sums_by(ids, rows, 60)
         assert got.dtype == np.float32 and np.allclose(got, want, atol=1e-4)
+
+
+def test_texts_are_cut_into_ids_once(spark):
+    """encoded() has every document as the ids of its words and an end, and every distinct word with its count where documents teach."""
+    v, docs = lm.ids_of(subwords.default_path()), corpus(60)
+    d = spark.createDataFrame([(i, t, i % 7 == 2) for i, t in docs], "doc_id long, text string, held boolean")
+    rows = lm.encoded(d, v, 1 << 20).collect()
+    of = lambda w: np.asarray(v.words((" " + w).encode())[0], "<u2").tobytes()
+    want = sorted((i, i % 7 == 2, b"".join(map(of, words(t))) + np.array([v.end], "<u2").tobytes()) for i, t in docs)
+    assert sorted((r.doc_id, r.held, bytes(r.ids)) for r in rows if r.fragment is None) == want
+    teach, counted = collections.Counter(w for i, t in docs if i % 7 != 2 for w in words(t)), collections.Counter()
+    for r in rows:
+        if r.fragment is not None:
+            counted.update(dict(zip(np.frombuffer(r.hashes, "<u8").tolist(), np.frombuffer(r.counts, "<u4").tolist())))
+    every = {w for _, t in docs for w in words(t)}
+    ids, at = zip(*(v.words((" " + w).encode()) for w in every))
+    hashes = lm._hashes(np.concatenate(ids), np.cumsum([0, *map(len, ids)])).tolist()
+    assert counted == collections.Counter({h: teach[w] for h, w in zip(hashes, every)}) and len(set(hashes)) == len(every)
+
+
+def test_batches_leave_nothing_behind():
+    """The arrays that batches share hold nothing of the batch before, also where that was larger or smaller."""
+    v, r = lm.IDS - 1, np.random.default_rng(2)
+    ids = r.integers(0, v, 4000)
+    x, place, n = attention.windows(ids, np.array([0, 10, 1500, 1500, 4000]), v)
+    y = ids[np.minimum(place[:, None] + np.arange(attention.SPAN), 3999)]
+    good = np.arange(attention.SPAN)[None, :] < n[:, None]
+    used = attention.Attention.new(1)
+    for a, b in ((0, 60), (60, 70), (3, 64)):
+        loss, g = used.gradient(x[a:b], y[a:b], good[a:b])
+        loss2, g2 = attention.Attention.new(1).gradient(x[a:b], y[a:b], good[a:b])
+        assert loss == loss2 and all(np.array_equal(g[k], g2[k]) for k in g)
+        assert np.array_equal(used.log10(x[a:b], y[a:b])[0], attention.Attention.new(1).log10(x[a:b], y[a:b])[0])
+    assert not used.rooms == {} and pickle.loads(pickle.dumps(used)).rooms == {}
